@@ -92,12 +92,16 @@ def slot_hour(time: Column) -> Column:
     return F.replace(time, F.lit(" "), F.lit("")).substr(1, 2).try_cast("int")
 
 
-def day_slot(time: Column, edges: tuple[int, int] = SLOT_EDGES) -> Column:
+def slot_of_hour(hour: Column, edges: tuple[int, int] = SLOT_EDGES) -> Column:
     """0 up to the first edge hour, 1 up to the second, 2 after it; NULL without an hour."""
-    hour = slot_hour(time)
     return F.when(hour <= edges[0], 0).when(hour <= edges[1], 1).when(hour.isNotNull(), 2)
 
 
+def day_slot(time: Column, edges: tuple[int, int] = SLOT_EDGES) -> Column:
+    """Slot of the hour a time text starts with."""
+    return slot_of_hour(slot_hour(time), edges)
+
+
 def day_slot_sql(ts: Column) -> Column:
     """1, 2, 3 for [00-08), [08-19), [19-24) of a timestamp."""
     hour = F.hour(ts)

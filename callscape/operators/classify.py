@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscape.functions.vectors import nearest, nonzero_count, vector_sum
-from callscape.scale import fits_broadcast, ordered_mode, share_of_total
+from callscape.functions.vectors import DISTANCE_DECIMALS, nearest, nonzero_count, vector_sum
+from callscape.scale import (
+    BROADCAST_MAX_ROWS,
+    fits_broadcast,
+    lookup_join,
+    ordered_mode,
+    share_of_total,
+)
 from callscape.schema import PASSING_BY, WINDOW_KEYS
 
 # Fixed value: a single active slot below this level means passing by.
@@ -17,26 +25,62 @@ def is_passing_by(profile: Column) -> Column:
     return (nonzero_count(profile) == 1) & (vector_sum(profile) < PASSING_BY_BELOW)
 
 
-def classify(profiles: DataFrame, centroids: DataFrame) -> DataFrame:
+def _nearest_by_window(centroids: DataFrame):
+    """Vectorised search for the nearest centre of a window.
+
+    The centres (clusters x windows, measured before) go to the executors once. Arrow batches
+    of profiles are compared with one centre at a time; the lower centroid id wins a tie.
+    """
+    windows = {}
+    for row in centroids.orderBy(*WINDOW_KEYS, "centroid_id").collect():
+        labels, centers = windows.setdefault((row["window_year"], row["window_week"]), ([], []))
+        labels.append(row["label"])
+        centers.append(row["center"])
+    shared = centroids.sparkSession.sparkContext.broadcast(windows)
+
+    @F.pandas_udf("string")
+    def label(year: pd.Series, week: pd.Series, profile: pd.Series) -> pd.Series:
+        out = pd.Series(index=profile.index, dtype=object)
+        for window, group in profile.groupby([year, week]):
+            labels, centers = shared.value[window]
+            vectors = np.stack(group.to_numpy())
+            best = np.full(len(vectors), np.inf)
+            chosen = np.zeros(len(vectors), dtype=int)
+            for i, center in enumerate(centers):
+                gaps = vectors - np.asarray(center)[: vectors.shape[1]]
+                distance = np.round((gaps * gaps).sum(axis=1), DISTANCE_DECIMALS)
+                closer = distance < best
+                best[closer], chosen[closer] = distance[closer], i
+            out.loc[group.index] = np.asarray(labels, dtype=object)[chosen]
+        return out
+
+    return label, list(windows)
+
+
+def classify(
+    profiles: DataFrame, centroids: DataFrame, max_centroids: int = BROADCAST_MAX_ROWS
+) -> DataFrame:
     """Class of each profile: passing by, else the label of the nearest centre of its window.
 
-    The centres of a window travel as one array in one broadcast row, so profiles are neither
-    shuffled nor multiplied. Profiles of a window without centres are left out.
+    Profiles are neither shuffled nor multiplied by the centres. Profiles of a window without
+    centres are left out. Should the centres not fit a broadcast, each window's centres meet
+    its profiles by a salted join and the search runs on arrays inside the row.
     """
-    candidates = centroids.groupBy(*WINDOW_KEYS).agg(
-        F.collect_list(F.struct(F.col("centroid_id").alias("rank"), "label", "center"))
-        .alias("candidates")
-    )
-    if not fits_broadcast(centroids):
-        raise ValueError("the centres of all windows exceed what a broadcast may hold; "
-                         "classify fewer windows at a time")
     profile = F.col("profile")
-    label = F.when(is_passing_by(profile), F.lit(PASSING_BY)).otherwise(
-        nearest(profile, F.col("candidates"))
-    )
-    return profiles.join(F.broadcast(candidates), WINDOW_KEYS).select(
-        *WINDOW_KEYS, "region", "user_id", label.alias("user_class")
-    )
+    if fits_broadcast(centroids, max_centroids):
+        label, windows = _nearest_by_window(centroids)
+        covered = F.lit(False)
+        for year, week in windows:
+            covered = covered | ((F.col("window_year") == year) & (F.col("window_week") == week))
+        searched = profiles.filter(covered).withColumn("_label", label(*WINDOW_KEYS, "profile"))
+    else:
+        entry = F.struct(F.col("centroid_id").alias("rank"), "label", "center")
+        by_window = centroids.groupBy(*WINDOW_KEYS).agg(F.collect_list(entry).alias("_centers"))
+        searched = lookup_join(profiles, by_window, WINDOW_KEYS, max_rows=0).withColumn(
+            "_label", nearest(profile, F.col("_centers"))
+        )
+    user_class = F.when(is_passing_by(profile), F.lit(PASSING_BY)).otherwise(F.col("_label"))
+    return searched.select(*WINDOW_KEYS, "region", "user_id", user_class.alias("user_class"))
 
 
 def sociometer(classified: DataFrame) -> DataFrame:

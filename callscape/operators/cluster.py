@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from callscape.functions.vectors import nearest
 from callscape.scale import cut_lineage
@@ -46,13 +49,19 @@ MAX_ITERATIONS = 20
 RESTARTS = 5
 
 
+def _small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """Driver rows as a local relation, which needs no job of its own."""
+    named = [dict(zip(schema.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(named, to_arrow_schema(schema)), schema)
+
+
 def archetypes(spark: SparkSession) -> DataFrame:
     """The built-in labelled profiles as ``ordinal, label, center``."""
     rows = [
         (ordinal, label, [level for week in weeks for level in week for _ in range(3)])
         for ordinal, (label, weeks) in enumerate(ARCHETYPES)
     ]
-    return spark.createDataFrame(rows, ARCHETYPE_SCHEMA)
+    return _small_frame(spark, rows, ARCHETYPE_SCHEMA)
 
 
 def read_archetypes(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
@@ -121,7 +130,7 @@ def fit_clusters(
             (window["window_year"], window["window_week"], i, center)
             for i, center in enumerate(found)
         ]
-    return spark.createDataFrame(centers, CENTROID_SCHEMA)
+    return _small_frame(spark, centers, CENTROID_SCHEMA)
 
 
 def candidates(archetypes: DataFrame) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscape.functions.calendar import (
@@ -12,10 +12,11 @@ from callscape.functions.calendar import (
     SATURDAY_SUNDAY,
     SLOT_EDGES,
     day_of_week,
-    day_slot,
     day_slot_sql,
     is_weekend,
     iso_week,
+    slot_hour,
+    slot_of_hour,
 )
 from callscape.operators.spatial import attach_region
 from callscape.operators.windows import WINDOW_WEEKS, assign_tumbling, in_window
@@ -76,11 +77,11 @@ def calling_activity(
     Windows are the tumbling ones from ``start`` to ``end``, or any given ``windows`` frame.
     Records without a readable hour have no slot and are left out.
     """
-    slotted = cdr.withColumn("slot", day_slot(F.col("time"), edges)).filter("slot is not null")
-    in_region = attach_region(slotted, cells, key)
+    timed = cdr.withColumn("_hour", slot_hour(F.col("time"))).filter("_hour is not null")
+    in_region = attach_region(timed, cells, key)
     placed = in_window(in_region, windows) if windows is not None \
         else assign_tumbling(in_region, start, end, size)
-    bit = F.col("slot") * DAYS + day_of_week(F.col("date"))
+    bit = slot_of_hour(F.col("_hour"), edges) * DAYS + day_of_week(F.col("date"))
     flag = F.call_function("shiftleft", F.lit(1), bit)
     masks = [
         F.bit_or(F.when(F.col("week_idx") == week, flag).otherwise(0)).alias(f"mask_{week}")
@@ -93,14 +94,19 @@ def _mask_columns(activity: DataFrame) -> list[str]:
     return [c for c in activity.columns if c.startswith("mask_")]
 
 
-def _active_days(mask: Column, is_we: int, slot: int, weekend: Iterable[int]) -> Column:
+def _active_days(mask: str, is_we: int, slot: int, weekend: Iterable[int]) -> str:
+    """SQL text counting the active days of a week's mask in one slot."""
     weekend_bits = sum(1 << (day - 1) for day in set(weekend))
     bits = weekend_bits if is_we else weekend_bits ^ ((1 << DAYS) - 1)
-    return F.bit_count(mask.bitwiseAND(F.lit(bits << (slot * DAYS))))
+    return f"bit_count({mask} & {bits << (slot * DAYS)})"
 
 
-def _normalised(days: Column, is_we: int) -> Column:
-    return days / F.lit(WEEKEND_DIVISOR if is_we else WORKDAY_DIVISOR)
+def _normalised(days: str, is_we: int) -> str:
+    return f"{days} / {WEEKEND_DIVISOR if is_we else WORKDAY_DIVISOR}D"
+
+
+def _week_parts():
+    return [(is_we, slot) for is_we in (0, 1) for slot in range(SLOTS)]
 
 
 def user_profile(activity: DataFrame, weekend: Iterable[int] = MONDAY_SUNDAY) -> DataFrame:
@@ -112,20 +118,14 @@ def user_profile(activity: DataFrame, weekend: Iterable[int] = MONDAY_SUNDAY) ->
     weekend = tuple(weekend)
     entries = []
     for week, mask in enumerate(_mask_columns(activity)):
-        for is_we in (0, 1):
-            for slot in range(SLOTS):
-                days = _active_days(F.col(mask), is_we, slot, weekend)
-                entries.append(
-                    F.struct(
-                        F.lit(week).alias("week_idx"),
-                        F.lit(is_we).alias("is_we"),
-                        F.lit(slot).alias("slot"),
-                        days.alias("n_days"),
-                        _normalised(days, is_we).alias("value"),
-                    )
-                )
-    return activity.select(
-        *WINDOW_KEYS, "region", "user_id", F.inline(F.array(*entries))
+        for is_we, slot in _week_parts():
+            days = _active_days(mask, is_we, slot, weekend)
+            entries.append(
+                f"named_struct('week_idx', {week}, 'is_we', {is_we}, 'slot', {slot}, "
+                f"'n_days', {days}, 'value', {_normalised(days, is_we)})"
+            )
+    return activity.selectExpr(
+        *WINDOW_KEYS, "region", "user_id", f"inline(array({', '.join(entries)}))"
     ).filter("n_days > 0")
 
 
@@ -138,18 +138,12 @@ def profile_vectors(
     last, which is the order the labelled typical profiles are compared in.
     """
     weekend = tuple(weekend)
-    masks = F.array(*[F.col(c) for c in _mask_columns(activity)])
-    n_weeks = F.col("n_weeks")
+    masks = _mask_columns(activity)
     entries = []
-    for block in range(len(_mask_columns(activity))):
-        week = F.pmod(F.lit(block + 1), n_weeks) if rotate else F.lit(block)
-        mask = F.get(masks, week)
-        for is_we in (0, 1):
-            for slot in range(SLOTS):
-                entries.append(_normalised(_active_days(mask, is_we, slot, weekend), is_we))
-    return activity.select(
-        *WINDOW_KEYS,
-        "region",
-        "user_id",
-        F.slice(F.array(*entries), F.lit(1), n_weeks * (2 * SLOTS)).alias("profile"),
-    )
+    for block in range(len(masks)):
+        week = f"pmod({block + 1}, n_weeks)" if rotate else str(block)
+        mask = f"get(array({', '.join(masks)}), {week})"
+        for is_we, slot in _week_parts():
+            entries.append(_normalised(_active_days(mask, is_we, slot, weekend), is_we))
+    profile = f"slice(array({', '.join(entries)}), 1, n_weeks * {2 * SLOTS}) AS profile"
+    return activity.selectExpr(*WINDOW_KEYS, "region", "user_id", profile)

@@ -111,8 +111,9 @@ def assign_tumbling(
     n_total = (end - start).days // 7 + 1
     beyond = monday + dt.timedelta(weeks=n_total)
     midnight = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
-    pos = F.floor(F.date_diff(F.to_date(date), F.lit(monday)) / 7).cast("int")
-    number = F.floor(pos / size).cast("int")
+    whole = lambda a, b: F.call_function("div", a, F.lit(b)).cast("int")
+    pos = whole(F.date_diff(F.to_date(date), F.lit(monday)), 7)
+    number = whole(pos, size)
     first_day = F.date_add(F.lit(monday), number * (7 * size))
     return df.filter((F.col(date) >= midnight(monday)) & (F.col(date) < midnight(beyond))).withColumns(
         {

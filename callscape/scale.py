@@ -31,25 +31,26 @@ def fits_broadcast(
 def lookup_join(
     facts: DataFrame,
     dimension: DataFrame,
-    on: str,
+    on: str | list[str],
     how: str = "inner",
     max_rows: int = BROADCAST_MAX_ROWS,
     salts: int = JOIN_SALTS,
 ) -> DataFrame:
-    """Join facts to a dimension on one key.
+    """Join facts to a dimension.
 
     A dimension that measures small is broadcast, so the facts do not move. A larger one is
     joined by shuffle with every dimension row copied to ``salts`` buckets and the facts
     spread over them, which splits a key that holds a large share of all facts. The salt
     depends only on the row and its input partition, so a rerun task repeats it.
     """
+    keys = [on] if isinstance(on, str) else on
     if fits_broadcast(dimension, max_rows):
-        return facts.join(F.broadcast(dimension), on, how)
+        return facts.join(F.broadcast(dimension), keys, how)
     spread = F.pmod(F.xxhash64(*facts.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         facts.withColumn("_salt", spread)
-        .join(dimension.withColumn("_salt", copies), [on, "_salt"], how)
+        .join(dimension.withColumn("_salt", copies), [*keys, "_salt"], how)
         .drop("_salt")
     )
 

@@ -16,24 +16,36 @@ SEPARATOR = ";"
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
-def _split(line: Column, sep: str) -> Column:
-    return F.split(line, r"\Q" + sep + r"\E", -1)
+def _extracted(lines: DataFrame, sep: str, line: Column, fields) -> DataFrame:
+    """``lines`` with the columns ``fields`` makes of the split line.
+
+    They come out of a one-row generator. A plain projection would be copied into every
+    filter on its results, and each line would be split and its date parsed several times.
+    """
+    parts = lines.withColumn("_parts", F.split(line, r"\Q" + sep + r"\E", -1))
+    record = F.struct(*[column.alias(name) for name, column in fields(F.col("_parts")).items()])
+    return parts.select(*lines.columns, F.inline(F.array(record)))
+
+
+def _all_present(names) -> Column:
+    usable = F.lit(True)
+    for name in names:
+        usable = usable & F.col(name).isNotNull()
+    return usable
 
 
 def _tolerant_fields(lines: DataFrame, layout: CdrLayout, date_format: str, sep: str) -> DataFrame:
-    """Every named field as trimmed text, the parsed date, and whether the line is usable."""
-    parts = _split(F.col("value"), sep)
-    fields = {
-        name: F.trim(F.get(parts, F.lit(ordinal)), F.lit(WHITESPACE))
-        for name, ordinal in layout.fields.items()
-    }
-    complete = F.lit(True)
-    for column in fields.values():
-        complete = complete & column.isNotNull()
-    fields["date"] = parse_timestamp(fields["date"], datetime_pattern(date_format))
-    return lines.withColumns(
-        {**fields, "_usable": F.coalesce(complete & fields["date"].isNotNull(), F.lit(False))}
-    )
+    """Every named field as trimmed text, and the date parsed; what is missing is NULL."""
+    pattern = datetime_pattern(date_format)
+
+    def fields(parts: Column) -> dict[str, Column]:
+        text = {
+            name: F.trim(F.get(parts, F.lit(ordinal)), F.lit(WHITESPACE))
+            for name, ordinal in layout.fields.items()
+        }
+        return {**text, "date": parse_timestamp(text["date"], pattern)}
+
+    return _extracted(lines, sep, F.col("value"), fields)
 
 
 def _with_week(cdr: DataFrame) -> DataFrame:
@@ -52,7 +64,7 @@ def parse_cdr(
     """
     layout = layout or CdrLayout.default()
     parsed = _tolerant_fields(lines, layout, date_format, sep)
-    return _with_week(parsed.filter("_usable").drop("_usable", "value"))
+    return _with_week(parsed.filter(_all_present(layout.fields)).drop("value"))
 
 
 def rejected_lines(
@@ -62,8 +74,9 @@ def rejected_lines(
     sep: str = SEPARATOR,
 ) -> DataFrame:
     """The lines :func:`parse_cdr` leaves out."""
-    parsed = _tolerant_fields(lines, layout or CdrLayout.default(), date_format, sep)
-    return parsed.filter(~F.col("_usable")).select(*lines.columns)
+    layout = layout or CdrLayout.default()
+    parsed = _tolerant_fields(lines, layout, date_format, sep)
+    return parsed.filter(~_all_present(layout.fields)).select(*lines.columns)
 
 
 def parse_cdr_strict(
@@ -75,16 +88,22 @@ def parse_cdr_strict(
     """
     layout = layout or CdrLayout.default()
     names = [n for n in ("user_id", "start_cell", "end_cell", "date", "time") if n in layout.fields]
-    parts = _split(F.regexp_replace("value", "(" + r"\Q" + sep + r"\E" + ")+$", ""), sep)
-    fields = {name: F.get(parts, F.lit(layout.fields[name])) for name in names}
-    fields["date"] = parse_timestamp(fields["date"], STRICT_PATTERN)
-    fields["time"] = F.when(fields["time"].rlike(r"^[+-]?\d+$"), fields["time"].try_cast("int"))
-    usable = F.lit(True)
-    for column in fields.values():
-        usable = usable & column.isNotNull()
+
+    def fields(parts: Column) -> dict[str, Column]:
+        text = {name: F.get(parts, F.lit(layout.fields[name])) for name in names}
+        return {
+            **text,
+            "date": parse_timestamp(text["date"], STRICT_PATTERN),
+            "time": F.when(text["time"].rlike(r"^[+-]?\d+$"), text["time"].try_cast("int")),
+        }
+
+    line = F.regexp_replace("value", "(" + r"\Q" + sep + r"\E" + ")+$", "")
+    parsed = _extracted(lines, sep, line, fields)
     message = F.concat(F.lit("unusable call record: "), F.col("value"))
-    checked = lines.filter(F.when(usable, F.lit(True)).otherwise(F.raise_error(message)))
-    return _with_week(checked.withColumns(fields).drop("value"))
+    checked = parsed.filter(
+        F.when(_all_present(names), F.lit(True)).otherwise(F.raise_error(message))
+    )
+    return _with_week(checked.drop("value"))
 
 
 def read_cdr(

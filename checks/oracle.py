@@ -375,6 +375,7 @@ oracle("label_centroids", """
         FROM user_distances) d
     WHERE nearness = 1""")
 oracle("classify", "SELECT * FROM classified")
+ORACLE["classify_joined"] = ORACLE["classify"]
 oracle("sociometer", """
     SELECT window_year, window_week, region, user_class, round(CAST(share AS DOUBLE), 6) AS share
     FROM shares""")

@@ -65,10 +65,11 @@ def _vectors(spark, sf):
 
 def _fixed_centroids(spark):
     """The archetypes as centres of every window, which makes classes deterministic."""
-    windows = W.tumbling_weeks(W.weeks_between(spark, S.START, S.END))
-    return windows.select("window_year", "window_week").distinct().select(
-        "window_year", "window_week", F.inline(K.candidates(K.archetypes(spark)))
-    ).withColumnRenamed("rank", "centroid_id")
+    first_weeks = F.explode(F.array(*[F.struct(*map(F.lit, w)) for w in S.WINDOWS])).alias("w")
+    return K.archetypes(spark).select("*", first_weeks).select(
+        F.col("w.col1").alias("window_year"), F.col("w.col2").alias("window_week"),
+        F.col("ordinal").alias("centroid_id"), "label", "center",
+    )
 
 
 def _classified(spark, sf):
@@ -336,6 +337,12 @@ def classify(spark, sf):
     return _classified(spark, sf)
 
 
+@query
+def classify_joined(spark, sf):
+    """The same classes by the way taken when the centres do not fit a broadcast."""
+    return C.classify(_vectors(spark, sf), _fixed_centroids(spark), max_centroids=0)
+
+
 @query
 def sociometer(spark, sf):
     return C.sociometer(_classified(spark, sf)).withColumn("share", F.round("share", 6))

@@ -16,6 +16,9 @@ from callscape.operators.windows import assign_tumbling
 START = "2024-01-01"
 END = "2024-01-30"
 
+# First weeks of its windows.
+WINDOWS = [(2024, 1), (2024, 5)]
+
 # Peak periods that fit it.
 BASE_DAYS = (1, 21)
 FROM_DAY = 22
@@ -24,21 +27,31 @@ MIN_DIFF = 2
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
+# Known schemas spare the job that would look into the files for them.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def cdr(spark: SparkSession, sf: str) -> DataFrame:
-    """Call records. Text of a timestamp is cut from its cast: formatting would go through the
-    session time zone."""
-    site = F.lpad(F.get_json_object("props", "$.k"), 5, "0")
-    clock = F.substring(F.col("ts").cast("string"), 12, 8)
+    """Call records. The clock is put together from its parts: formatting a timestamp would go
+    through the session time zone."""
+    site = F.lpad(F.regexp_extract("props", r'"k":\s*(\d+)', 1), 5, "0")
+    clock = F.hour("ts") * 10000 + F.minute("ts") * 100 + F.second("ts")
     return table(spark, sf, "events").select(
         "event_id",
         F.col("user_id").cast("string").alias("user_id"),
         F.concat_ws("_", site, "event_type").alias("start_cell"),
         F.col("ts").alias("date"),
-        F.replace(clock, F.lit(":"), F.lit("")).alias("time"),
+        F.lpad(clock.cast("string"), 6, "0").alias("time"),
         F.col("event_type").alias("cdr_type"),
         iso_year(F.col("ts")).alias("iso_year"),
         iso_week(F.col("ts")).alias("iso_week"),
