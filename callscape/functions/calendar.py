@@ -69,6 +69,12 @@ def parse_timestamp(text: Column, pattern: str) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 
 
+def epoch_seconds(date: Column) -> Column:
+    """Seconds from the epoch to a zone-less timestamp read as UTC."""
+    days = F.date_diff(F.to_date(date), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(date) * 3600 + F.minute(date) * 60 + F.second(date)
+
+
 def iso_year(date: Column) -> Column:
     return F.extract(F.lit("YEAROFWEEK"), date).cast("int")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscape.functions.calendar import epoch_seconds
 from callscape.scale import with_row_number
 
 # The indicators, the id prefixes and the base address of record links.
@@ -76,7 +77,6 @@ def to_api_records(
     ``target_location`` when there is one, and refer to their region otherwise.
     """
     record_id = F.concat(F.lit(indicator_id + "_"), F.col("_id"))
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     in_utc = F.convert_timezone(
         F.lit(time_zone), F.lit("UTC"), F.col("date").cast("timestamp_ntz")
     )
@@ -87,7 +87,7 @@ def to_api_records(
         F.lit(indicator_id).alias("indicator_name"),
         F.concat(F.lit(f"{RECORD_URI}{indicator_id}/"), record_id).alias("uri"),
         F.lit(str(added_date)).alias("added_date"),
-        F.timestamp_diff("SECOND", epoch, in_utc).cast("string").alias("date"),
+        epoch_seconds(in_utc).cast("string").alias("date"),
         "value",
         "description",
         F.col(place) if place else F.col("region_id").alias("location_id"),
