@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,17 +84,23 @@ def read_archetypes(spark: SparkSession, path: str, sep: str = ";") -> DataFrame
 
 
 def _fit_window(vectors: DataFrame, k: int, max_iter: int, restarts: int, seed: int) -> list:
-    """Centres of the best of several randomly started runs."""
-    best = None
-    for run in range(restarts):
+    """Centres of the best of several randomly started runs.
+
+    The runs are independent, so their jobs share the cluster instead of queueing.
+    """
+    spark = vectors.sparkSession
+
+    def fit(run: int):
         model = KMeans(
             k=k, maxIter=max_iter, initMode="random", seed=seed + run,
             featuresCol="features", weightCol="weight",
         ).fit(vectors)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model.clusterCenters())
-    return [[float(x) for x in center] for center in best[1]]
+        return model.summary.trainingCost, run, model.clusterCenters()
+
+    with ThreadPool(restarts) as pool:
+        runs = pool.map(inheritable_thread_target(spark)(fit), range(restarts))
+    _, _, centers = min(runs, key=lambda found: found[:2])
+    return [[float(x) for x in center] for center in centers]
 
 
 def fit_clusters(
@@ -120,10 +129,11 @@ def fit_clusters(
             (F.col("window_year") == window["window_year"])
             & (F.col("window_week") == window["window_week"])
         )
-        if window["n"] == 1:
-            found = [here.first()["profile"]]
+        if window["n"] <= k:  # every distinct vector is a centre of its own
+            found = [row["profile"] for row in here.orderBy("profile").collect()]
         else:
             vectors = here.select(array_to_vector("profile").alias("features"), "weight").persist()
+            vectors.count()  # fill the cache once, before the runs start side by side
             found = _fit_window(vectors, k, max_iter, restarts, seed)
             vectors.unpersist()
         centers += [

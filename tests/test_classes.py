@@ -134,3 +134,9 @@ def test_whole_chain(spark):
     allowed = {"resident", "dynamic_resident", "commuter", "visitor", "passing by"}
     assert {r["user_class"] for r in result.shares.collect()} <= allowed
     assert result.annotations.count() == result.profiles.select("user_id", "region").distinct().count()
+
+
+def test_fewer_vectors_than_clusters(spark):
+    df = profiles(spark, (0.1, 0.0), (0.1, 0.0), (0.3, 0.2))
+    centers = [r["center"] for r in K.fit_clusters(df, k=10).orderBy("centroid_id").collect()]
+    assert centers == [[0.1, 0.0], [0.3, 0.2]]
