@@ -28,15 +28,17 @@ def is_passing_by(profile: Column) -> Column:
 def _nearest_by_window(centroids: DataFrame):
     """Vectorised search for the nearest centre of a window.
 
-    The centres (clusters x windows, measured before) go to the executors once. Arrow batches
-    of profiles are compared with one centre at a time; the lower centroid id wins a tie.
+    The centres (clusters x windows, measured before) go to the executors once. An Arrow batch
+    of profiles meets all centres in one matrix product; the lower centroid id wins a tie.
     """
     windows = {}
     for row in centroids.orderBy(*WINDOW_KEYS, "centroid_id").collect():
         labels, centers = windows.setdefault((row["window_year"], row["window_week"]), ([], []))
         labels.append(row["label"])
         centers.append(row["center"])
-    shared = centroids.sparkSession.sparkContext.broadcast(windows)
+    shared = centroids.sparkSession.sparkContext.broadcast(
+        {w: (np.array(labels, dtype=object), np.array(centers)) for w, (labels, centers) in windows.items()}
+    )
 
     @F.pandas_udf("string")
     def label(year: pd.Series, week: pd.Series, profile: pd.Series) -> pd.Series:
@@ -44,14 +46,11 @@ def _nearest_by_window(centroids: DataFrame):
         for window, group in profile.groupby([year, week]):
             labels, centers = shared.value[window]
             vectors = np.stack(group.to_numpy())
-            best = np.full(len(vectors), np.inf)
-            chosen = np.zeros(len(vectors), dtype=int)
-            for i, center in enumerate(centers):
-                gaps = vectors - np.asarray(center)[: vectors.shape[1]]
-                distance = np.round((gaps * gaps).sum(axis=1), DISTANCE_DECIMALS)
-                closer = distance < best
-                best[closer], chosen[closer] = distance[closer], i
-            out.loc[group.index] = np.asarray(labels, dtype=object)[chosen]
+            centers = centers[:, : vectors.shape[1]]
+            squares = (vectors**2).sum(axis=1)[:, None] + (centers**2).sum(axis=1)
+            distances = np.round(squares - 2 * vectors @ centers.T, DISTANCE_DECIMALS)
+            chosen = distances.argmin(axis=1)  # the first of equals
+            out.loc[group.index] = labels[chosen]
         return out
 
     return label, list(windows)

@@ -67,8 +67,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="callscape-")
-    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
     return folder
 
 
@@ -78,28 +78,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder.
+    """Write ``df`` once to a table in the shared folder and go on from there.
 
-    Later uses read the stored rows, so the raw data is scanned a single time and a lost
-    executor costs a re-read, not a recomputation.
+    Later uses read columns of the stored rows, so the raw data is scanned a single time and
+    a lost executor costs a re-read, not a recomputation.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_row_number(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     """Number all rows from 0 in the given total order, without a single-task sort.
 
-    Rows are range-partitioned and stored, which pins the partitions; each partition is
-    numbered on its own and shifted by the sizes of those before it. Only one row per
-    partition (their counts) ever meets in one task.
+    Rows are range-partitioned, numbered inside their partition and stored with both numbers,
+    which pins them; then each partition is shifted by the sizes of those before it. Only one
+    row per partition (their counts) ever meets in one task.
     """
-    pinned = cut_lineage(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
     within = F.lit((1 << 33) - 1)  # the low bits of a monotonic id count rows in a partition
-    placed = pinned.select(
-        "*",
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().bitwiseAND(within).alias("_pos"),
+    placed = cut_lineage(
+        df.repartitionByRange(*order_by)
+        .sortWithinPartitions(*order_by)
+        .select(
+            "*",
+            F.spark_partition_id().alias("_part"),
+            F.monotonically_increasing_id().bitwiseAND(within).alias("_pos"),
+        )
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
@@ -108,7 +112,7 @@ def with_row_number(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.col("_pos"))
-        .drop("_part", "_pos", "_n", "_offset")
+        .drop("_part", "_pos", "_offset")
     )
 
 

@@ -95,7 +95,9 @@ def test_shared_folder_comes_from_the_session(spark):
 
 
 def test_cut_lineage_reads_stored_rows(spark):
-    assert "Scan ExistingRDD" in plan(scale.cut_lineage(spark.range(5)))
+    stored = scale.cut_lineage(spark.range(5).withColumn("x", F.rand()))
+    assert "FileScan parquet" in plan(stored) and "Range" not in plan(stored)
+    assert rows(stored) == rows(stored)
 
 
 def test_numbering_an_empty_frame(spark):
