@@ -15,6 +15,7 @@ from callscape.functions.calendar import (
     day_slot_sql,
     is_weekend,
     iso_week,
+    iso_year,
     slot_hour,
     slot_of_hour,
 )
@@ -38,22 +39,29 @@ def user_profile_sql(
 ) -> DataFrame:
     """Active days per user, area, week, weekend flag and time slot, in that order.
 
-    ``weeks`` bounds the ISO week number, both ends included.
+    ``weeks`` bounds the ISO week number, both ends included. The days of a week are bits, so
+    all calls of a user in a slot become one row before the exchange; a week number that comes
+    up in several years counts the days of each.
     """
     date = F.col("date")
     placed = attach_region(cdr.filter(iso_week(date).between(*weeks)), cells, "prefix")
     keys = ["user_id", "region", "week", "weekday", "time_slot"]
-    return (
+    by_year = (
         placed.select(
             "user_id",
             "region",
             iso_week(date).alias("week"),
             is_weekend(date, weekend).alias("weekday"),
             day_slot_sql(date).alias("time_slot"),
-            F.to_date(date).alias("day"),
+            iso_year(date).alias("year"),
+            F.call_function("shiftleft", F.lit(1), day_of_week(date)).alias("day"),
         )
-        .groupBy(*keys)
-        .agg(F.count_distinct("day").alias("n_days"))
+        .groupBy(*keys, "year")
+        .agg(F.bit_or("day").alias("days"))
+    )
+    return (
+        by_year.groupBy(*keys)
+        .agg(F.sum(F.bit_count("days")).alias("n_days"))
         .orderBy("user_id", "week", "weekday", "time_slot", "region")
     )
 
