@@ -8,13 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscape.functions.vectors import DISTANCE_DECIMALS, nearest, nonzero_count, vector_sum
-from callscape.scale import (
-    BROADCAST_MAX_ROWS,
-    fits_broadcast,
-    lookup_join,
-    ordered_mode,
-    share_of_total,
-)
+from callscape.operators.aggregates import ordered_mode, share_of_total
+from callscape.scale import BROADCAST_MAX_ROWS, fits_broadcast, lookup_join
 from callscape.schema import PASSING_BY, WINDOW_KEYS
 
 # Fixed value: a single active slot below this level means passing by.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from callscape import scale
 from callscape.operators import presence as B
+from callscape.operators.aggregates import share_of_total
 from callscape.operators.spatial import attach_region
 
 from helpers import calls, plan, random_calls, rows, sites
@@ -106,4 +107,4 @@ def test_numbering_an_empty_frame(spark):
 
 def test_share_of_total(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 5)], "g string, n bigint")
-    assert rows(scale.share_of_total(df, "n", ["g"])) == [("a", 1, 0.25), ("a", 3, 0.75), ("b", 5, 1.0)]
+    assert rows(share_of_total(df, "n", ["g"])) == [("a", 1, 0.25), ("a", 3, 0.75), ("b", 5, 1.0)]
