@@ -65,6 +65,36 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM v""",
+    "op5_line_dedup": r"""
+WITH lines_ AS (
+  SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS raw
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+occ AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+        FROM lines_),
+kinds AS (
+  SELECT line, length(line) AS n, min(row(doc_id, pos)) AS first FROM occ
+  WHERE length(line) >= 20 GROUP BY line),
+cuts AS (
+  SELECT line, n, first, i, CASE WHEN i = 0 THEN line
+    ELSE left(line, CAST(i - 1 AS INT)) || substr(line, CAST(i + 1 AS INT)) END AS v
+  FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM kinds)),
+near AS (
+  SELECT DISTINCT a.line
+  FROM cuts a JOIN cuts b
+    ON hash(a.v) = hash(b.v) AND a.v = b.v AND (a.i = b.i OR a.i = 0 OR b.i = 0)
+    AND a.line <> b.line
+  WHERE b.first < a.first AND levenshtein(a.line, b.line) <= 1),
+kept AS (
+  SELECT o.doc_id, o.pos, o.raw,
+    k.line IS NOT NULL AND (row(o.doc_id, o.pos) > k.first OR n.line IS NOT NULL) AS gone
+  FROM occ o LEFT JOIN kinds k ON o.line = k.line LEFT JOIN near n ON o.line = n.line)
+SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines,
+  coalesce(k.n_removed, 0)::BIGINT AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone) AS text
+  FROM kept GROUP BY doc_id) k USING (doc_id)""",
     "op9_quality_rules": f"""
 WITH {QUALITY_CTES.format(docs="documents")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from callscape.llm.common import table
+from callscape.llm.line_dedup import line_dedup_report
 from callscape.llm.quality_rules import quality_report
 from callscape.llm.warc import archive_pages
 
@@ -15,11 +16,16 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_archive": op2_warc_archive,
+    "op5_line_dedup": op5_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
