@@ -10,7 +10,9 @@ from callscape.llm.common import table
 from callscape.llm.decontaminate import contamination_report
 from callscape.llm.jaccard_join import similar_documents
 from callscape.llm.line_dedup import line_dedup_report
+from callscape.llm.packing import pack_documents
 from callscape.llm.quality_rules import quality_report
+from callscape.llm.range_coder import through_files
 from callscape.llm.warc import archive_pages
 
 
@@ -26,6 +28,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_files(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_archive": op2_warc_archive,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
+    "op8_range_coded_ids": op8_range_coded_ids,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
