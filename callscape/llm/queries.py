@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from callscape.llm.common import table
 from callscape.llm.decontaminate import contamination_report
 from callscape.llm.jaccard_join import similar_documents
+from callscape.llm.licenses import license_scan
 from callscape.llm.line_dedup import line_dedup_report
 from callscape.llm.packing import pack_documents
 from callscape.llm.quality_rules import quality_report
@@ -24,6 +25,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_archive": op2_warc_archive,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_license_scan": op4_license_scan,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op8_range_coded_ids": op8_range_coded_ids,
