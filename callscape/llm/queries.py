@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callscape.llm.common import table
 from callscape.llm.decontaminate import contamination_report
+from callscape.llm.html_crf import main_texts
 from callscape.llm.jaccard_join import similar_documents
 from callscape.llm.licenses import license_scan
 from callscape.llm.line_dedup import line_dedup_report
@@ -37,6 +38,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_html_main_text": op7_html_main_text,
     "op8_range_coded_ids": op8_range_coded_ids,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
