@@ -13,11 +13,16 @@ from callscape.llm.jaccard_join import similar_documents
 from callscape.llm.licenses import license_scan
 from callscape.llm.line_dedup import line_dedup_report
 from callscape.llm.packing import pack_documents
+from callscape.llm.quality_net import quality_scores
 from callscape.llm.quality_rules import quality_report
 from callscape.llm.range_coder import through_files
 from callscape.llm.warc import archive_pages
 
 
+def op1_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_net": op1_quality_net,
     "op2_warc_archive": op2_warc_archive,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_license_scan": op4_license_scan,
