@@ -26,7 +26,9 @@ does. Rows with equal texts, repeated rows included, share a class. Only doc_id
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -43,8 +45,9 @@ PERCENT = 90
 BLOCK_ROWS = 128
 BLOCK_TOKENS = 1 << 16
 STEP = 1.25  # ratio of the size classes
-SPARE = 2  # segments beyond those that differences can reach
-BROADCAST_IDS = 2_000_000
+SPARE = 2  # segments beyond those that differences can reach, at least
+MAX_SUBSETS = 600
+BROADCAST_IDS = 500_000
 
 
 def _class_starts() -> np.ndarray:
@@ -67,6 +70,28 @@ def max_difference(size: int, percent: int) -> int:
     return size * (100 - percent) // percent
 
 
+@cache
+def segment_shape(c: int, percent: int) -> tuple[int, int, bool]:
+    """Of size class ``c``: the number of segments (0: only equal sets link), how many of them are
+    spare, and whether subsets of empty segments, rather than one mark for all sets with more empty
+    segments than spare ones, stand in. Subsets serve while they are few; beyond, so many segments
+    are spare that such sets hardly occur."""
+    low, differ = int(CLASS_STARTS[c]), max_difference(int(CLASS_STARTS[c + 1]) - 1, percent)
+    if not differ:
+        return 0, 0, False
+    empty = lambda parts: parts * math.exp(-low / parts)
+    most = lambda x: x + 4 * math.sqrt(x) + 1
+    spare = SPARE
+    if math.comb(int(most(empty(differ + 1 + spare))), spare + 1) <= MAX_SUBSETS:
+        return differ + 1 + spare, spare, True
+    while spare < 4 * differ:
+        x = empty(differ + 1 + spare)
+        if spare >= x + 6 * math.sqrt(x):
+            break
+        spare += max(1, spare // 8)
+    return differ + 1 + spare, spare, False
+
+
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the segments of a set, for its own size class and those of smaller partners."""
     n = len(s)
@@ -75,19 +100,20 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
     out = [np.zeros(0, np.uint64)]
     for c in range(low, high + 1):
-        differ = max_difference(int(CLASS_STARTS[c + 1]) - 1, percent)
-        if not differ:  # such small sets link with equal ones only
+        parts, spare, subsets = segment_shape(c, percent)
+        if not parts:
             continue
-        parts = differ + 1 + SPARE
         cut = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(s, cut), [n]])
         tag = mix(np.arange(parts, dtype=np.uint64) + np.uint64((int(c) + 1) << 40))
         filled = at[1:] > at[:-1]
         out.append(mix(mix(sums[at[1:]] - sums[at[:-1]]) + tag)[filled])
         empty = np.flatnonzero(~filled)
-        if len(empty) > SPARE:
-            sets = np.array(list(combinations(empty, SPARE + 1)))
+        if len(empty) > spare and subsets:
+            sets = np.array(list(combinations(empty, spare + 1)))
             out.append(mix(tag[sets].sum(axis=1, dtype=np.uint64) + np.uint64(1)))
+        elif len(empty) > spare:
+            out.append(mix(tag[:1] + np.uint64(2)))
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -136,9 +162,11 @@ def _links(percent: int):
         sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
         size = np.array([len(s) for s in sets])
         side = pdf["block"].to_numpy()
-        first, last = side.min(), side.max()
+        first, last = pdf["low"].iat[0], pdf["high"].iat[0]
         queries = np.flatnonzero(side == first)
         members = np.flatnonzero(side == last)
+        if not len(queries) or not len(members):  # a block without documents
+            return pd.DataFrame({"digest": [], "root": [], "links": []})
         root, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
         union, place = np.unique(np.concatenate([sets[m] for m in members]), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(size[members])[:-1]])
