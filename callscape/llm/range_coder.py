@@ -62,9 +62,12 @@ def _steps(count: int) -> int:
 
 def encode_segment(ids: np.ndarray) -> bytes:
     """The bytes of a segment. All blocks advance together, one step of all lanes at a time."""
-    symbols, code, counts = np.unique(ids, return_inverse=True, return_counts=True)
     if not len(ids):
         return HEAD.pack(MAGIC, 0, 0, 0)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    code = (np.cumsum(counts > 0) - 1)[ids]
+    counts = counts[symbols]
     freq = scaled_frequencies(counts)
     base = (np.cumsum(freq) - freq).astype(U)
     freq = freq.astype(U)
@@ -75,16 +78,18 @@ def encode_segment(ids: np.ndarray) -> bytes:
     lanes = padded.reshape(blocks, steps, LANES)
     state = np.full((blocks, LANES), LOW)
     marks, words, owners = [], [], []
+    last_steps = _steps(len(ids) - (blocks - 1) * per_block)
     for t in range(steps - 1, -1, -1):
-        f = freq[lanes[:, t]]
-        full = state >= f << U(63 - BITS)
-        words.append((state[full] & U(0xFFFFFFFF)).astype("<u4"))
+        live = blocks if t < last_steps else blocks - 1  # the last block may be shorter
+        f, x = freq[lanes[:live, t]], state[:live]
+        full = x >= f << U(63 - BITS)
+        words.append((x[full] & U(0xFFFFFFFF)).astype("<u4"))
         owners.append(np.nonzero(full)[0])
-        state = np.where(full, state >> U(32), state)
-        times = state // f
-        state = (times << U(BITS)) + (state - times * f) + base[lanes[:, t]]
+        x = np.where(full, x >> U(32), x)
+        times = x // f
+        state[:live] = (times << U(BITS)) + (x - times * f) + base[lanes[:live, t]]
         if t % _steps(SECTION_IDS) == 0:
-            marks.append(state)
+            marks.append(state.copy())
     words, owners = words[::-1], owners[::-1]
     emitted = np.stack([np.bincount(o, minlength=blocks) for o in owners])
     order = np.argsort(np.concatenate(owners), kind="stable")
