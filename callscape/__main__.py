@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import re
 
 from pyspark.sql import SparkSession
 
 from callscape.operators import classify, cluster, presence, publish
-from callscape.operators.peaks import with_peak_calendar
+from callscape.functions.calendar import datetime_pattern
+from callscape.operators.peaks import in_period, with_peak_calendar
 from callscape.operators.profile import calling_activity, profile_vectors
 from callscape.plans.peaks import detect_peaks
 from callscape.schema import OD_SERIES, PRESENCE_SERIES, CdrLayout
@@ -19,7 +21,7 @@ from callscape.sinks import tables, text
 from callscape.sources import stored
 from callscape.sources.annotations import read_annotations
 from callscape.sources.cdr import DATE_FORMAT, read_cdr
-from callscape.sources.dimensions import read_cells
+from callscape.sources.dimensions import read_cell_list, read_cells
 
 
 def study_weeks(start: str, end: str) -> list[tuple[int, int]]:
@@ -84,10 +86,19 @@ def activity(spark, args):
     text.write_timeseries(hourly, args.out, text.HOURLY_COLUMNS, sep=",")
 
 
+def _has_clock(date_format: str) -> bool:
+    """Whether dates in this format carry an hour."""
+    bare = re.sub(r"'[^']*'", "", datetime_pattern(date_format))
+    return bool(re.search("[HhKk]", bare))
+
+
 def peaks(spark, args):
+    calls = in_period(_calls(spark, args), args.start, args.end)
     found = detect_peaks(
-        with_peak_calendar(_calls(spark, args)), None, tuple(args.base_days), args.from_doy,
-        args.n_cells, min_ratio=args.min_ratio, min_diff=args.min_diff,
+        with_peak_calendar(calls, clock_in_date=_has_clock(args.date_format)),
+        read_cell_list(spark, args.cells) if args.cells else None,
+        tuple(args.base_days), args.from_doy, args.n_cells,
+        min_ratio=args.min_ratio, min_diff=args.min_diff,
     )
     found.write.mode("overwrite").parquet(args.out)
 
@@ -147,7 +158,10 @@ def _parser() -> argparse.ArgumentParser:
     sub = job(peaks, "cdr", cdr=True)
     sub.add_argument("--base-days", type=int, nargs=2, default=[32, 58])
     sub.add_argument("--from-doy", type=int, default=59)
-    sub.add_argument("--n-cells", type=int, default=10)
+    sub.add_argument("--cells", help="file of the cells to study; default: all")
+    sub.add_argument("--n-cells", type=int, help="study the first cells in order only")
+    sub.add_argument("--start", help="first day")
+    sub.add_argument("--end", help="last day")
     sub.add_argument("--min-ratio", type=float, default=0.2)
     sub.add_argument("--min-diff", type=float, default=50)
     sub = job(observations, "kind", "series")

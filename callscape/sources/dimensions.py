@@ -63,3 +63,9 @@ def read_cells(
         ).alias("position"),
     )
     return parse_cells(lines, F.col("position"), key, n, sep, on_duplicate)
+
+
+def read_cell_list(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+    """Distinct cells (``nidt``) of a file with a cell name first on each line."""
+    name = F.trim(F.substring_index("value", sep, 1))
+    return spark.read.text(path).select(name.alias("nidt")).filter("nidt <> ''").distinct()

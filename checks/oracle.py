@@ -404,6 +404,43 @@ oracle("peak_ratio", """
 oracle("peaks", _peaks("ratios", "r > 0 AND abs(anum - bnum) >= 2"))
 oracle("peaks_by_cell", _peaks("cell_ratios", "abs(anum - bnum) >= 0"))
 
+
+
+def _yearly_peaks(source: str, condition: str = "true") -> str:
+    """Peaks of all cells in both directions, each year against its own base."""
+    return f"""
+    SELECT rid, "hour", doy, dow, "year",
+           round(round(round(abs(r / 0.1) - 0.5) * 0.1 * sign(r), 12), 6) AS ratio,
+           round(round(abs(raw), 12), 6) AS abs_ratio,
+           round(round(abs(anum - bnum), 12), 6) AS abs_diff
+    FROM (
+        SELECT *, round(raw, 12) AS r FROM (
+            SELECT a.id AS rid, a."hour", a.doy, a.dow, a."year", a.num AS anum, b.num AS bnum,
+                   (a.num / a.total) / (b.num / b.total) - 1 AS raw
+            FROM (SELECT *, CAST(sum(num) OVER (PARTITION BY "year", doy) AS DOUBLE) AS total
+                  FROM yearly_{source} WHERE doy >= 22 AND {condition}) a
+            JOIN (SELECT *, sum(num) OVER (PARTITION BY "year", dow) AS total FROM (
+                      SELECT id, "hour", dow, "year", avg(num) AS num FROM yearly_{source}
+                      WHERE doy BETWEEN 1 AND 21 AND {condition} GROUP BY ALL) m) b
+              USING (id, "hour", dow, "year")) x) y
+    WHERE abs(r) >= 0.2"""
+
+
+for _name, _from in (
+    ("one", 'SELECT start_cell, "date" FROM cdr'),
+    ("two", """SELECT start_cell, "date" FROM cdr UNION ALL
+               SELECT start_cell, "date" + INTERVAL 1 YEAR FROM cdr
+               WHERE CAST(user_id AS BIGINT) % 2 = 0"""),
+):
+    CTE[f"yearly_{_name}"] = f"""
+    SELECT start_cell AS id, CAST("hour"("date") AS INTEGER) AS "hour",
+           CAST(isodow("date") AS INTEGER) AS dow, CAST(dayofyear("date") AS INTEGER) AS doy,
+           CAST("year"("date") AS INTEGER) AS "year", count(*) AS num
+    FROM ({_from}) c GROUP BY ALL"""
+oracle("peaks_all_cells", _yearly_peaks("one", "doy BETWEEN 3 AND 28"))
+oracle("peaks_split_clock", _yearly_peaks("one"))
+oracle("peaks_two_years", _yearly_peaks("two"))
+
 oracle("obs_presence", "SELECT * FROM obs_presence")
 oracle("obs_od", "SELECT * FROM obs_od")
 SOCIO_ID = """'sociometer-' || (row_number() OVER (

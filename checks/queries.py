@@ -98,6 +98,11 @@ def _calls(spark, sf):
 
 
 def _counts(spark, sf):
+    """All calls are of one year."""
+    return P.call_counts(_calls(spark, sf)).drop("year")
+
+
+def _yearly_counts(spark, sf):
     return P.call_counts(_calls(spark, sf))
 
 
@@ -432,18 +437,19 @@ def peak_counts(spark, sf):
 
 @query
 def peak_base(spark, sf):
-    base = P.peak_base(_counts(spark, sf), _study(spark, sf), S.BASE_DAYS)
+    base = P.peak_base(_yearly_counts(spark, sf), _study(spark, sf), S.BASE_DAYS).drop("year")
     return base.withColumn("num", F.round("num", 6))
 
 
 @query
 def peak_analysis(spark, sf):
-    return P.peak_analysis(_counts(spark, sf), _study(spark, sf), S.FROM_DAY)
+    counts = _yearly_counts(spark, sf)
+    return P.peak_analysis(counts, _study(spark, sf), S.FROM_DAY).drop("year")
 
 
 @query
 def peak_ratio(spark, sf):
-    ratios = peak_ratios(_calls(spark, sf), None, S.BASE_DAYS, S.FROM_DAY)
+    ratios = peak_ratios(_calls(spark, sf), None, S.BASE_DAYS, S.FROM_DAY).drop("year")
     return ratios.withColumns({"ratio": _six("ratio"), "bnum": F.round("bnum", 6)})
 
 
@@ -460,7 +466,7 @@ def _rounded_peaks(found):
 def peaks(spark, sf):
     return _rounded_peaks(
         detect_peaks(_calls(spark, sf), None, S.BASE_DAYS, S.FROM_DAY, min_diff=S.MIN_DIFF)
-    )
+    ).drop("year")
 
 
 @query
@@ -470,7 +476,34 @@ def peaks_by_cell(spark, sf):
     cells = S.full_cells(spark, sf).select(F.col("cell_id").alias("nidt"))
     return _rounded_peaks(
         detect_peaks(calls, cells, S.BASE_DAYS, S.FROM_DAY, min_diff=0, positive_only=False)
-    )
+    ).drop("year")
+
+
+def _all_peaks(calls, **period):
+    return _rounded_peaks(detect_peaks(
+        calls, None, S.BASE_DAYS, S.FROM_DAY, min_diff=0, positive_only=False, **period))
+
+
+@query
+def peaks_all_cells(spark, sf):
+    """Every cell, over part of the period."""
+    return _all_peaks(P.with_peak_calendar(S.cdr(spark, sf)), start="2024-01-03", end="2024-01-28")
+
+
+@query
+def peaks_split_clock(spark, sf):
+    """Records as lines whose dates have no clock; the hour is in a field of its own."""
+    calls = parse_cdr(S.split_clock_lines(spark, sf), S.SPLIT_CLOCK, date_format="%Y%m%d")
+    return _all_peaks(P.with_peak_calendar(calls, clock_in_date=False))
+
+
+@query
+def peaks_two_years(spark, sf):
+    """The calls beside a copy of a year later, in which every other user is missing."""
+    calls = S.cdr(spark, sf)
+    later = calls.filter(F.col("user_id").cast("long") % 2 == 0).withColumn(
+        "date", F.col("date") + F.expr("INTERVAL '1' YEAR"))
+    return _all_peaks(P.with_peak_calendar(calls.unionByName(later)))
 
 
 # Publishing ---------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from callscape.functions.calendar import iso_week, iso_year
 from callscape.operators.windows import assign_tumbling
+from callscape.schema import CdrLayout
 
 # The period of the events table.
 START = "2024-01-01"
@@ -105,5 +106,21 @@ def clean_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# A layout in which the date has no clock.
+SPLIT_CLOCK = CdrLayout(
+    {"cdr_type": 0, "user_id": 1, "date": 3, "time": 4, "start_cell": 9, "end_cell": 11})
+
+
+def split_clock_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Call records as lines of that layout, below a header."""
+    day = F.replace(F.substring(F.col("date").cast("string"), 1, 10), F.lit("-"), F.lit(""))
+    blank = F.lit("")
+    lines = cdr(spark, sf).select(F.concat_ws(
+        ";", "cdr_type", "user_id", blank, day, "time", F.lit("0"), blank, blank, blank,
+        "start_cell", F.lit("11"), blank).alias("value"))
+    header = F.lit("TYPE;USER;;DATE;TIME;;;;;CELL;;")
+    return lines.unionByName(spark.range(1).select(header.alias("value")))
+
+
 def in_study(df: DataFrame) -> DataFrame:
     return assign_tumbling(df, START, END)
