@@ -15,11 +15,10 @@ def share_of_total(df: DataFrame, count: str, over: list[str], name: str = "shar
 def ordered_mode(df: DataFrame, keys: list[str], value: str, order: Column) -> DataFrame:
     """Most frequent ``value`` per key; a tie goes to the value seen first in ``order``.
 
-    Both aggregations run on the one exchange by ``keys``.
+    Rows are counted inside each task first, so a key with many rows sends one per value and task.
     """
     return (
         df.select(*keys, value, order.alias("_order"))
-        .repartition(*keys)
         .groupBy(*keys, value)
         .agg(F.count("*").alias("_n"), F.min("_order").alias("_first"))
         .groupBy(*keys)

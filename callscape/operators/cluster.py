@@ -51,6 +51,8 @@ CLUSTERS = 100
 MAX_ITERATIONS = 20
 RESTARTS = 5
 
+TRAIN_SIDE_BY_SIDE = 8
+
 
 def _small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """Driver rows as a local relation, which needs no job of its own."""
@@ -68,11 +70,13 @@ def archetypes(spark: SparkSession) -> DataFrame:
 
 
 def read_archetypes(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """Labelled profiles from ``id;label;value;value;...`` lines. File order gives the ordinal,
-    as ids may repeat."""
+    """Labelled profiles from ``id;label;value;value;...`` lines. Their order gives the ordinal, as
+    ids may repeat: by path, then block, then line."""
     parts = F.split("value", r"\Q" + sep + r"\E", -1)
-    rows = spark.read.text(path).filter("trim(value) <> ''").select(
-        F.monotonically_increasing_id().alias("position"),
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    rows = lines.select(
+        F.struct("_metadata.file_path", "_metadata.file_block_start",
+                 F.monotonically_increasing_id().alias("id")).alias("position"),
         F.trim(F.get(parts, F.lit(1))).alias("label"),
         F.transform(F.slice(parts, F.lit(3), F.size(parts) - 2), lambda x: F.trim(x).cast("double"))
         .alias("center"),
@@ -83,24 +87,14 @@ def read_archetypes(spark: SparkSession, path: str, sep: str = ";") -> DataFrame
     )
 
 
-def _fit_window(vectors: DataFrame, k: int, max_iter: int, restarts: int, seed: int) -> list:
-    """Centres of the best of several randomly started runs.
-
-    The runs are independent, so their jobs share the cluster instead of queueing.
-    """
-    spark = vectors.sparkSession
-
-    def fit(run: int):
-        model = KMeans(
-            k=k, maxIter=max_iter, initMode="random", seed=seed + run,
-            featuresCol="features", weightCol="weight",
-        ).fit(vectors)
-        return model.summary.trainingCost, run, model.clusterCenters()
-
-    with ThreadPool(restarts) as pool:
-        runs = pool.map(inheritable_thread_target(spark)(fit), range(restarts))
-    _, _, centers = min(runs, key=lambda found: found[:2])
-    return [[float(x) for x in center] for center in centers]
+def _fit(vectors: DataFrame, k: int, max_iter: int, seed: int) -> tuple[float, list]:
+    """Cost and centres of one randomly started run."""
+    model = KMeans(
+        k=k, maxIter=max_iter, initMode="random", seed=seed,
+        featuresCol="features", weightCol="weight",
+    ).fit(vectors)
+    centers = [[float(x) for x in center] for center in model.clusterCenters()]
+    return model.summary.trainingCost, centers
 
 
 def fit_clusters(
@@ -114,32 +108,38 @@ def fit_clusters(
     """K-means centres of the profile vectors, one model per window.
 
     Profiles take few distinct values, so equal vectors are merged into one weighted vector
-    before training: the cost and the updates are the same, over far fewer rows. The merged
-    vectors are stored once, as each of the ``restarts * max_iter`` passes reads them.
+    before training: the cost and the updates are the same, over far fewer rows. Random starts
+    are drawn from the distinct vectors. The merged vectors are stored and cached, as each of the
+    ``restarts * max_iter`` passes reads them. The runs of all windows are independent, so their
+    jobs share the cluster instead of queueing.
     """
     spark = profiles.sparkSession
     sampled = profiles if sample_fraction >= 1.0 else profiles.sample(sample_fraction, seed)
     merged = cut_lineage(
         sampled.groupBy(*WINDOW_KEYS, "profile").agg(F.count("*").cast("double").alias("weight"))
     )
+    windows = merged.select(*WINDOW_KEYS).distinct().orderBy(*WINDOW_KEYS).collect()
+    vectors = merged.select(
+        *WINDOW_KEYS, array_to_vector("profile").alias("features"), "weight").persist()
+    try:
+        vectors.count()  # fill the cache once, before the runs start side by side
+
+        def fit(task):
+            window, run = task
+            here = vectors.filter(
+                (F.col("window_year") == window["window_year"])
+                & (F.col("window_week") == window["window_week"]))
+            return _fit(here, k, max_iter, seed + run)
+
+        tasks = [(window, run) for window in windows for run in range(restarts)]
+        with ThreadPool(min(len(tasks), TRAIN_SIDE_BY_SIDE) or 1) as pool:
+            runs = pool.map(inheritable_thread_target(spark)(fit), tasks, chunksize=1)
+    finally:
+        vectors.unpersist()
     centers = []
-    sizes = merged.groupBy(*WINDOW_KEYS).agg(F.count("*").alias("n")).orderBy(*WINDOW_KEYS)
-    for window in sizes.collect():  # one row per window of the calendar
-        here = merged.filter(
-            (F.col("window_year") == window["window_year"])
-            & (F.col("window_week") == window["window_week"])
-        )
-        if window["n"] <= k:  # every distinct vector is a centre of its own
-            found = [row["profile"] for row in here.orderBy("profile").collect()]
-        else:
-            vectors = here.select(array_to_vector("profile").alias("features"), "weight").persist()
-            vectors.count()  # fill the cache once, before the runs start side by side
-            found = _fit_window(vectors, k, max_iter, restarts, seed)
-            vectors.unpersist()
-        centers += [
-            (window["window_year"], window["window_week"], i, center)
-            for i, center in enumerate(found)
-        ]
+    for at, window in enumerate(windows):
+        best = min(runs[at * restarts : (at + 1) * restarts], key=lambda found: found[0])
+        centers += [(*window, i, center) for i, center in enumerate(best[1])]
     return _small_frame(spark, centers, CENTROID_SCHEMA)
 
 

@@ -12,20 +12,30 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 JOIN_SALTS = 32
+SALTED_MAX_ROWS = 1_000_000_000
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a dimension. Each task sends one row."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns),
+                F.lit(0))
+    seen = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return seen["n"], seen["bytes"]
 
 
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
 ) -> bool:
-    """Measure a dimension. The scan stops as soon as it has seen one row too many."""
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns),
-                F.lit(0))
-    seen = (
-        df.select(width.alias("width")).limit(max_rows + 1)
-        .agg(F.count("*").alias("n"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes"))
-        .first()
-    )
-    return seen["n"] <= max_rows and seen["bytes"] <= max_bytes
+    rows, size = measure(df)
+    return rows <= max_rows and size <= max_bytes
+
+
+def salts_for(spark: SparkSession, dimension_rows: int) -> int:
+    """Buckets over which a key is spread: one per shuffle partition, so that a hot key can occupy
+    all of them, but at least ``JOIN_SALTS`` and no more copies of the dimension than
+    ``SALTED_MAX_ROWS`` in all."""
+    wanted = max(JOIN_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(JOIN_SALTS, min(wanted, SALTED_MAX_ROWS // max(dimension_rows, 1)))
 
 
 def lookup_join(
@@ -34,23 +44,26 @@ def lookup_join(
     on: str | list[str],
     how: str = "inner",
     max_rows: int = BROADCAST_MAX_ROWS,
-    salts: int = JOIN_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join facts to a dimension.
 
     A dimension that measures small is broadcast, so the facts do not move. A larger one is
     joined by shuffle with every dimension row copied to ``salts`` buckets and the facts
     spread over them, which splits a key that holds a large share of all facts. The salt
-    depends only on the row and its input partition, so a rerun task repeats it.
+    depends only on the row and its input partition, so a rerun task repeats it. That join is
+    hinted to merge: copies of a dimension that is too large must not be broadcast.
     """
     keys = [on] if isinstance(on, str) else on
-    if fits_broadcast(dimension, max_rows):
+    rows, size = measure(dimension)
+    if rows <= max_rows and size <= BROADCAST_MAX_BYTES:
         return facts.join(F.broadcast(dimension), keys, how)
+    salts = salts or salts_for(facts.sparkSession, rows)
     spread = F.pmod(F.xxhash64(*facts.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         facts.withColumn("_salt", spread)
-        .join(dimension.withColumn("_salt", copies), [*keys, "_salt"], how)
+        .join(dimension.withColumn("_salt", copies).hint("merge"), [*keys, "_salt"], how)
         .drop("_salt")
     )
 

@@ -381,6 +381,17 @@ oracle("sociometer", """
     FROM shares""")
 oracle("annotation_mode", "SELECT * FROM annotations")
 
+_FITTED = f"""
+    SELECT window_year, window_week, {{centers}} AS n_centers, count(*) AS n_profiles,
+           CAST(count(DISTINCT profile) > 1 AS INTEGER) AS below_mean
+    FROM (SELECT window_year, window_week, region, user_id, {VECTOR} FROM dense GROUP BY ALL) v
+    GROUP BY ALL"""
+oracle("kmeans", _FITTED.format(centers="least(20, count(DISTINCT profile))"))
+oracle("kmeans_sampled", _FITTED.format(centers="1"))
+oracle("sociometer_trained", """
+    SELECT window_year, window_week, region, count(*) AS n_users, CAST(1 AS DOUBLE) AS total, 1 AS known
+    FROM classified GROUP BY ALL""")
+
 oracle("presence_users", f"""
     SELECT DISTINCT user_id, region, CAST({DAY} AS TIMESTAMP) AS "date" FROM placed""")
 oracle("presence", "SELECT * FROM presence")

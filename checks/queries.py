@@ -25,7 +25,7 @@ from callscape.operators.spatial import attach_region, site
 from callscape.plans.peaks import detect_peaks, peak_ratios
 from callscape.plans.sociometer import run_sociometer
 from callscape.scale import cut_lineage, scratch_path
-from callscape.schema import HOURLY_SERIES, OD_SERIES, PRESENCE_SERIES
+from callscape.schema import HOURLY_SERIES, OD_SERIES, PASSING_BY, PRESENCE_SERIES
 from callscape.sinks import tables as sink
 from callscape.sinks import text as text_sink
 from callscape.sources import stored
@@ -344,8 +344,8 @@ def classify(spark, sf):
 
 @query
 def classify_joined(spark, sf):
-    """The same classes by the way taken when the centres do not fit a broadcast."""
-    return C.classify(_vectors(spark, sf), _fixed_centroids(spark), max_centroids=0)
+    """The same classes with the centres in several parts, as when one broadcast cannot hold them."""
+    return C.classify(_vectors(spark, sf), _fixed_centroids(spark), max_centroids=7)
 
 
 @query
@@ -358,23 +358,59 @@ def annotation_mode(spark, sf):
     return _annotations(spark, sf)
 
 
+def _squared(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+
+
+def _fitted(vectors, centroids):
+    """What holds for trained centres whatever the random starts were: how many there are, that
+    every profile has one, that they cost less than the single mean profile, and that the cost of
+    training is what a search over all centres finds."""
+    keys = ["window_year", "window_week"]
+    centers = centroids.groupBy(*keys).agg(
+        F.count("*").alias("n_centers"), F.collect_list("center").alias("centers"))
+    values = vectors.select(*keys, F.posexplode("profile").alias("i", "v"))
+    means = values.groupBy(*keys, "i").agg(F.avg("v").alias("v")).groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("mean"))
+    near = F.array_min(F.transform("centers", lambda c: _squared(F.col("profile"), c)))
+    return (
+        vectors.join(centers, keys).join(means, keys)
+        .groupBy(*keys, "n_centers")
+        .agg(F.count("*").alias("n_profiles"), F.sum(near).alias("cost"),
+             F.sum(_squared(F.col("profile"), F.col("mean"))).alias("mean_cost"))
+        .select(*keys, "n_centers", "n_profiles",
+                (F.col("cost") < F.col("mean_cost")).cast("int").alias("below_mean"))
+    )
+
+
 @query
 def kmeans(spark, sf):
-    return K.fit_clusters(_vectors(spark, sf), k=KMEANS_K)
+    vectors = _vectors(spark, sf)
+    return _fitted(vectors, K.fit_clusters(vectors, k=KMEANS_K))
 
 
 @query
 def kmeans_sampled(spark, sf):
-    return K.fit_clusters(_vectors(spark, sf), k=KMEANS_K, sample_fraction=0.4)
+    """Trained on a sample, which the number of centres must not exceed."""
+    vectors = _vectors(spark, sf)
+    fitted = _fitted(vectors, K.fit_clusters(vectors, k=KMEANS_K, sample_fraction=0.4))
+    return fitted.withColumn("n_centers", F.col("n_centers").between(1, KMEANS_K).cast("int"))
 
 
 @query
 def sociometer_trained(spark, sf):
-    """The whole chain with trained centres."""
+    """The whole chain with trained centres: users and total share by region, and whether all
+    classes are known ones."""
     result = run_sociometer(
         S.cdr(spark, sf), S.cells(spark, sf), S.START, S.END, key="prefix", k=KMEANS_K
     )
-    return result.shares
+    keys = ["window_year", "window_week", "region"]
+    users = result.classified.groupBy(*keys).agg(F.count("*").alias("n_users"))
+    known = [label for label, _ in K.ARCHETYPES] + [PASSING_BY]
+    shares = result.shares.groupBy(*keys).agg(
+        F.round(F.sum("share"), 6).alias("total"),
+        F.min(F.col("user_class").isin(known).cast("int")).alias("known"))
+    return users.join(shares, keys)
 
 
 # Presence, flows, activity ------------------------------------------------------------------
