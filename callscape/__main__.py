@@ -14,8 +14,9 @@ from pyspark.sql import SparkSession
 from callscape.operators import classify, cluster, presence, publish
 from callscape.functions.calendar import datetime_pattern
 from callscape.operators.peaks import in_period, with_peak_calendar
-from callscape.operators.profile import calling_activity, profile_vectors
+from callscape.operators.profile import calling_activity, profile_vectors, untimed_records
 from callscape.plans.peaks import detect_peaks
+from callscape.scale import cut_lineage
 from callscape.schema import OD_SERIES, PRESENCE_SERIES, CdrLayout
 from callscape.sinks import tables, text
 from callscape.sources import stored
@@ -38,27 +39,31 @@ def _calls(spark, args):
 
 
 def profiling(spark, args):
-    cells = read_cells(spark, args.cells, key=args.key)
-    activity = calling_activity(_calls(spark, args), cells, args.start, args.end, key=args.key)
-    tables.write_profiles(profile_vectors(activity), args.out, args.tag)
+    cells, calls = read_cells(spark, args.cells, key=args.key), _calls(spark, args)
+    if args.quarantine:
+        untimed_records(calls).write.mode("overwrite").parquet(f"{args.quarantine}-untimed")
+    activity = calling_activity(calls, cells, args.start, args.end, key=args.key)
+    weeks = study_weeks(args.start, args.end)
+    tables.write_profiles(profile_vectors(activity), args.out, args.tag, weeks)
 
 
 def clustering(spark, args):
-    profiles = stored.read_profiles(spark, args.profiles, args.tag, study_weeks(args.start, args.end))
+    weeks = study_weeks(args.start, args.end)
+    profiles = stored.read_profiles(spark, args.profiles, args.tag, weeks)
     typical = cluster.read_archetypes(spark, args.archetypes) if args.archetypes \
         else cluster.archetypes(spark)
     centroids = cluster.fit_clusters(
         profiles, k=args.k, sample_fraction=args.fraction, seed=args.seed
     )
-    tables.write_centroids(cluster.label_centroids(centroids, typical), args.out, args.tag)
+    tables.write_centroids(cluster.label_centroids(centroids, typical), args.out, args.tag, weeks)
 
 
 def classification(spark, args):
     weeks = study_weeks(args.start, args.end)
     profiles = stored.read_profiles(spark, args.profiles, args.tag, weeks)
     centroids = stored.read_centroids(spark, args.centroids, args.tag, weeks)
-    classified = classify.classify(profiles, centroids)
-    tables.write_sociometer(classify.sociometer(classified), args.out, args.tag)
+    classified = cut_lineage(classify.classify(profiles, centroids))
+    tables.write_sociometer(classify.sociometer(classified), args.out, args.tag, weeks)
     tables.write_annotations(classify.annotate_global(classified), args.annotations, args.tag)
 
 

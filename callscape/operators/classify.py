@@ -103,7 +103,8 @@ def sociometer(classified: DataFrame) -> DataFrame:
 
 
 def annotate_global(classified: DataFrame) -> DataFrame:
-    """One class per (user, region): the most frequent over all windows, the earliest on a tie."""
+    """One class per (user, region): the most frequent over all windows, the earliest on a tie.
+    A user and region have at most one row per window."""
     return ordered_mode(
-        classified, ["user_id", "region"], "user_class", F.struct(*WINDOW_KEYS)
+        classified, ["user_id", "region"], "user_class", F.struct(*WINDOW_KEYS), few_per_key=True
     )

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,12 +89,16 @@ def read_archetypes(spark: SparkSession, path: str, sep: str = ";") -> DataFrame
 
 
 def _fit(vectors: DataFrame, k: int, max_iter: int, seed: int) -> tuple[float, list]:
-    """Cost and centres of one randomly started run."""
+    """Cost and sorted centres of one randomly started run. There are at most as many centres as
+    vectors; one vector is its own centre, as training takes two at least."""
+    if k == 1:
+        mean = vectors.select(Summarizer.mean(F.col("features"), F.col("weight"))).first()[0]
+        return 0.0, [[float(x) for x in mean]]
     model = KMeans(
         k=k, maxIter=max_iter, initMode="random", seed=seed,
         featuresCol="features", weightCol="weight",
     ).fit(vectors)
-    centers = [[float(x) for x in center] for center in model.clusterCenters()]
+    centers = sorted([float(x) for x in center] for center in model.clusterCenters())
     return model.summary.trainingCost, centers
 
 
@@ -118,7 +123,7 @@ def fit_clusters(
     merged = cut_lineage(
         sampled.groupBy(*WINDOW_KEYS, "profile").agg(F.count("*").cast("double").alias("weight"))
     )
-    windows = merged.select(*WINDOW_KEYS).distinct().orderBy(*WINDOW_KEYS).collect()
+    windows = merged.groupBy(*WINDOW_KEYS).agg(F.count("*").alias("n")).orderBy(*WINDOW_KEYS).collect()
     vectors = merged.select(
         *WINDOW_KEYS, array_to_vector("profile").alias("features"), "weight").persist()
     try:
@@ -129,7 +134,7 @@ def fit_clusters(
             here = vectors.filter(
                 (F.col("window_year") == window["window_year"])
                 & (F.col("window_week") == window["window_week"]))
-            return _fit(here, k, max_iter, seed + run)
+            return _fit(here, min(k, window["n"]), max_iter, seed + run)
 
         tasks = [(window, run) for window in windows for run in range(restarts)]
         with ThreadPool(min(len(tasks), TRAIN_SIDE_BY_SIDE) or 1) as pool:
@@ -139,7 +144,8 @@ def fit_clusters(
     centers = []
     for at, window in enumerate(windows):
         best = min(runs[at * restarts : (at + 1) * restarts], key=lambda found: found[0])
-        centers += [(*window, i, center) for i, center in enumerate(best[1])]
+        centers += [(window["window_year"], window["window_week"], i, center)
+                    for i, center in enumerate(best[1])]
     return _small_frame(spark, centers, CENTROID_SCHEMA)
 
 

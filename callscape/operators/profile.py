@@ -66,6 +66,11 @@ def user_profile_sql(
     )
 
 
+def untimed_records(cdr: DataFrame) -> DataFrame:
+    """Records whose time text has no hour, which profiles leave out."""
+    return cdr.filter(slot_hour(F.col("time")).isNull())
+
+
 def calling_activity(
     cdr: DataFrame,
     cells: DataFrame,
@@ -83,7 +88,8 @@ def calling_activity(
     the whole profile needs that single exchange, keyed by (window, region, user).
 
     Windows are the tumbling ones from ``start`` to ``end``, or any given ``windows`` frame.
-    Records without a readable hour have no slot and are left out.
+    Records without a readable hour have no slot and are left out; :func:`untimed_records` has
+    them.
     """
     timed = cdr.withColumn("_hour", slot_hour(F.col("time"))).filter("_hour is not null")
     in_region = attach_region(timed, cells, key)

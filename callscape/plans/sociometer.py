@@ -32,14 +32,14 @@ def run_sociometer(
 ) -> Sociometer:
     """All windows of the study in one go.
 
-    The profiles are stored once; training, classification and both summaries start from
-    them, so the call records are read a single time.
+    The profiles are stored once for training and classification, the classes once for both
+    summaries, so the call records are read and the profiles classified a single time.
     """
     if archetypes is None:
         archetypes = K.archetypes(cdr.sparkSession)
     profiles = cut_lineage(profile_vectors(calling_activity(cdr, cells, start, end, key=key)))
     centroids = K.label_centroids(K.fit_clusters(profiles, **clustering), archetypes)
-    classified = C.classify(profiles, centroids)
+    classified = cut_lineage(C.classify(profiles, centroids))
     return Sociometer(
         profiles, centroids, classified, C.sociometer(classified), C.annotate_global(classified)
     )

@@ -74,6 +74,16 @@ CENTROID_SCHEMA = T.StructType(
     ]
 )
 
+SHARE_SCHEMA = T.StructType(
+    [
+        T.StructField("window_year", T.IntegerType()),
+        T.StructField("window_week", T.IntegerType()),
+        T.StructField("region", T.StringType()),
+        T.StructField("user_class", T.StringType()),
+        T.StructField("share", T.DoubleType()),
+    ]
+)
+
 ARCHETYPE_SCHEMA = T.StructType(
     [
         T.StructField("ordinal", T.IntegerType()),

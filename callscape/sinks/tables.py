@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscape.schema import WINDOW_KEYS
+from callscape.sources import stored
 
 
 def _overwrite_parts(df: DataFrame, root: str, keys: list[str]) -> None:
@@ -18,26 +21,44 @@ def _overwrite_parts(df: DataFrame, root: str, keys: list[str]) -> None:
     )
 
 
-def _write_windows(df: DataFrame, root: str, tag: str) -> None:
+def _clear(df: DataFrame, root: str, tag: str, weeks, read) -> None:
+    """Empty the stored windows of ``weeks``. Each holds a file without rows afterwards."""
+    spark = df.sparkSession
+    held = read(spark, root, tag, weeks).select(*WINDOW_KEYS).distinct().collect()
+    nothing = df.drop("tag", *WINDOW_KEYS).limit(0)
+    for year, week in held:
+        nothing.write.mode("overwrite").parquet(
+            f"{root}/tag={tag}/window_year={year}/window_week={week}")
+
+
+def _write_windows(df: DataFrame, root: str, tag: str, weeks, read, order: list[str]) -> None:
     """One folder per tag and window. The rebalance hint gathers the rows of a window into
-    files of the advisory size; a large window is split over several."""
+    files of the advisory size; a large window is split over several.
+
+    The windows of ``weeks``, the study's, are emptied first, so that one without rows in this
+    run does not keep those of an earlier run. ``df`` must not read from the same store.
+    """
+    if not re.fullmatch(r"[\w.-]+", tag, re.ASCII):
+        raise ValueError(f"a tag names a folder: {tag!r}")
+    if weeks is not None:
+        _clear(df, root, tag, weeks, read)
     tagged = df.withColumn("tag", F.lit(tag)).hint("rebalance", *WINDOW_KEYS)
-    _overwrite_parts(tagged, root, ["tag", *WINDOW_KEYS])
+    _overwrite_parts(tagged.sortWithinPartitions(*order) if order else tagged, root,
+                     ["tag", *WINDOW_KEYS])
 
 
-def write_profiles(profiles: DataFrame, root: str, tag: str) -> None:
-    _write_windows(profiles, root, tag)
+def write_profiles(profiles: DataFrame, root: str, tag: str, weeks=None) -> None:
+    _write_windows(profiles, root, tag, weeks, stored.read_profiles, [])
 
 
-def write_centroids(centroids: DataFrame, root: str, tag: str) -> None:
-    _write_windows(centroids, root, tag)
+def write_centroids(centroids: DataFrame, root: str, tag: str, weeks=None) -> None:
+    _write_windows(centroids, root, tag, weeks, stored.read_centroids, [])
 
 
-def write_sociometer(shares: DataFrame, root: str, tag: str) -> None:
+def write_sociometer(shares: DataFrame, root: str, tag: str, weeks=None) -> None:
     """Class shares, sorted by region inside each window."""
-    keys = [*WINDOW_KEYS, "region", "user_class"]
-    tagged = shares.withColumn("tag", F.lit(tag)).hint("rebalance", *WINDOW_KEYS)
-    _overwrite_parts(tagged.sortWithinPartitions(*keys), root, ["tag", *WINDOW_KEYS])
+    _write_windows(shares, root, tag, weeks, stored.read_sociometer,
+                   [*WINDOW_KEYS, "region", "user_class"])
 
 
 def write_annotations(annotations: DataFrame, root: str, tag: str) -> None:
@@ -62,4 +83,4 @@ def create_table(df: DataFrame, name: str, path: str | None = None) -> None:
 
 def drop_tables(spark: SparkSession, *names: str) -> None:
     for name in names:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", {"name": name})

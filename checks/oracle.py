@@ -479,6 +479,15 @@ oracle("api_records_json", f"""
 
 oracle("sink_profiles", f"""
     SELECT window_year, window_week, region, user_id, {VECTOR} FROM dense GROUP BY ALL""")
+oracle("sink_two_tags", """
+    SELECT DISTINCT tag, window_year, window_week, region, user_id
+    FROM dense, (VALUES ('1'), ('01')) AS t(tag) WHERE tag = '01' OR region <> '0'""")
+oracle("sink_rewritten_window", """
+    SELECT DISTINCT window_year, window_week, region, user_id FROM dense WHERE window_week <> 5""")
+oracle("profile_rejects", """
+    SELECT event_id, user_id, start_cell, 'n/a' AS "time"
+    FROM cdr JOIN lines l USING (event_id) WHERE event_id % 7 = 0 AND NOT l.cut AND NOT l.broken""")
+oracle("weeks_required", "SELECT * FROM complete")
 oracle("sink_centroids", """
     SELECT window_year, window_week, centroid_id, label, CAST(n_values AS INTEGER) AS n_values,
            round(CAST(total AS DOUBLE), 6) AS total

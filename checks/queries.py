@@ -18,6 +18,7 @@ from callscape.operators import windows as W
 from callscape.operators.profile import (
     calling_activity,
     profile_vectors,
+    untimed_records,
     user_profile,
     user_profile_sql,
 )
@@ -619,6 +620,41 @@ def sink_sociometer(spark, sf):
     return stored.read_sociometer(spark, root, TAG).withColumn("share", F.round("share", 6))
 
 
+@query
+def sink_two_tags(spark, sf):
+    """Tags that would be the same number, in one store."""
+    root, vectors = scratch_path(spark, "tags"), cut_lineage(_vectors(spark, sf))
+    sink.write_profiles(vectors.filter("region <> '0'"), root, "1")
+    sink.write_profiles(vectors, root, "01")
+    back = [stored.read_profiles(spark, root, t).withColumn("tag", F.lit(t)) for t in ("1", "01")]
+    return back[0].unionByName(back[1]).select("tag", "window_year", "window_week", "region", "user_id")
+
+
+@query
+def sink_rewritten_window(spark, sf):
+    """A second run over the same weeks that has no rows for one window."""
+    root, vectors = scratch_path(spark, "rerun"), cut_lineage(_vectors(spark, sf))
+    sink.write_profiles(vectors, root, TAG, S.WINDOWS)
+    sink.write_profiles(vectors.filter("window_week <> 5"), root, TAG, S.WINDOWS)
+    return stored.read_profiles(spark, root, TAG).select(
+        "window_year", "window_week", "region", "user_id")
+
+
+@query
+def profile_rejects(spark, sf):
+    """Parsed lines whose time has no hour."""
+    lines = S.cdr_lines(spark, sf).withColumn("value", F.when(
+        F.col("event_id") % 7 == 0, F.regexp_replace("value", r";\d{6}\t;", ";n/a;")
+    ).otherwise(F.col("value")))
+    return untimed_records(parse_cdr(lines)).select("event_id", "user_id", "start_cell", "time")
+
+
+@query
+def weeks_required(spark, sf):
+    """The complete weeks in order, after the check that there are enough."""
+    return W.require_weeks(W.complete_weeks(S.cdr(spark, sf)), 2)
+
+
 @query
 def sink_annotations(spark, sf):
     root = scratch_path(spark, "annotations")

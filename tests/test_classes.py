@@ -1,12 +1,15 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from callscape.functions.vectors import euclidean
 from callscape.operators import classify as C
 from callscape.operators import cluster as K
+from callscape.operators.aggregates import ordered_mode
 from callscape.plans.sociometer import run_sociometer
 
-from helpers import calls, random_calls, rows, sites
+from helpers import calls, plan, random_calls, rows, sites
 
 PROFILES = "window_year int, window_week int, region string, user_id string, profile array<double>"
 CENTERS = "window_year int, window_week int, centroid_id int, label string, center array<double>"
@@ -140,3 +143,34 @@ def test_fewer_vectors_than_clusters(spark):
     df = profiles(spark, (0.1, 0.0), (0.1, 0.0), (0.3, 0.2))
     centers = [r["center"] for r in K.fit_clusters(df, k=10).orderBy("centroid_id").collect()]
     assert centers == [[0.1, 0.0], [0.3, 0.2]]
+
+
+def test_many_centres_give_equal_labels_in_one_and_in_several_parts(spark):
+    rng = random.Random(8)
+    centers = [(2024, 1, i, f"c{i}", [rng.random() for _ in range(6)]) for i in range(20_000)]
+    schema = "window_year int, window_week int, centroid_id int, label string, center array<double>"
+    centroids = spark.createDataFrame(centers, schema)
+    people = [(2024, 1, "r", f"u{i}", [rng.random() for _ in range(6)]) for i in range(300)]
+    profiles = spark.createDataFrame(
+        people, "window_year int, window_week int, region string, user_id string, profile array<double>")
+    whole = rows(C.classify(profiles, centroids))
+    assert whole == rows(C.classify(profiles, centroids, max_centroids=7000))
+    for _, _, _, user, label in whole[:20]:
+        v = next(p[4] for p in people if p[3] == user)
+        best = min(centers, key=lambda c: (round(sum((a - b) ** 2 for a, b in zip(v, c[4])), 9), c[2]))
+        assert label == best[3]
+
+
+def test_mode_counts_inside_tasks(spark):
+    df = spark.range(100).selectExpr("id % 3 AS k", "id % 5 AS v", "id AS o").repartition(3)
+    text = plan(ordered_mode(df, ["k"], "v", F.col("o")))
+    assert "partial_count" in text
+
+
+def test_archetype_files_are_read_in_order(spark, tmp_path):
+    folder = tmp_path / "typical"
+    folder.mkdir()
+    (folder / "a.csv").write_text("1;first;0.1;0.2\n")
+    (folder / "b.csv").write_text("".join(f"1;later{i};0.3;0.4\n" for i in range(500)))
+    found = K.read_archetypes(spark, str(folder)).orderBy("ordinal").collect()
+    assert [r["label"] for r in found] == ["first", *[f"later{i}" for i in range(500)]]

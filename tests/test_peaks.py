@@ -107,3 +107,41 @@ def test_buckets(spark):
 def test_study_cells_are_the_first_in_order(spark, data):
     got = P.study_cells(P.with_peak_calendar(calls(spark, data)), 2).collect()
     assert [r[0] for r in got] == ["00000_x", "00001_x"]
+
+
+def test_all_cells_are_studied_unless_told(spark):
+    data = in_2015(random_calls(4000, cells=25))
+    frame = P.with_peak_calendar(calls(spark, data))
+    found = {r["rid"] for r in peak_ratios(frame, None, BASE, FROM).select("rid").distinct().collect()}
+    assert len(found) > 10
+    few = peak_ratios(frame, None, BASE, FROM, n_cells=2).select("rid").distinct().count()
+    assert few == 2
+
+
+def test_years_do_not_multiply_rows(spark, data):
+    later = [(u, c, w.replace(year=2016), *rest) for u, c, w, *rest in data if w.month != 2 or w.day != 29]
+    frame = P.with_peak_calendar(calls(spark, data + later))
+    counts = P.call_counts(frame)
+    base = P.peak_base(counts, None, BASE)
+    analysis = P.peak_analysis(counts, None, FROM)
+    ratios = P.peak_ratio(analysis, base)
+    assert ratios.count() <= analysis.count()
+    one = peak_ratios(P.with_peak_calendar(calls(spark, data)), None, BASE, FROM)
+    both = ratios.filter("year = 2015").select("rid", "hour", "doy", "dow", F.round("ratio", 9))
+    assert rows(both) == rows(one.select("rid", "hour", "doy", "dow", F.round("ratio", 9)))
+
+
+def test_hour_comes_from_the_time_field(spark):
+    frame = spark.sql("""
+        SELECT 'a' AS start_cell, TIMESTAMP_NTZ '2015-01-05 00:00:00' AS date, time
+        FROM VALUES ('142700'), ('20:28'), ('x'), (NULL) AS t(time)""")
+    bare = P.with_peak_calendar(frame, clock_in_date=False)
+    assert sorted(r["hour"] for r in bare.collect()) == [14, 20]
+    assert sorted(r["hour"] for r in P.with_peak_calendar(frame).collect()) == [0, 0, 14, 20]
+
+
+def test_period(spark, data):
+    frame = calls(spark, data)
+    by_date = P.with_peak_calendar(P.in_period(frame, "2015-01-03", "2015-01-20"))
+    by_calendar = P.during(P.with_peak_calendar(frame), "2015-01-03", "2015-01-20")
+    assert rows(by_date) == rows(by_calendar) and 0 < by_date.count() < frame.count()

@@ -108,3 +108,27 @@ def test_numbering_an_empty_frame(spark):
 def test_share_of_total(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 5)], "g string, n bigint")
     assert rows(share_of_total(df, "n", ["g"])) == [("a", 1, 0.25), ("a", 3, 0.75), ("b", 5, 1.0)]
+
+
+def test_measuring_sends_one_row_per_task(spark):
+    df = spark.range(1000).repartition(7)
+    assert scale.measure(df)[0] == 1000
+    measured = df.agg(F.count("*"), F.sum("id"))
+    text = plan(measured)
+    assert "partial_count" in text and "GlobalLimit" not in text
+    import inspect
+
+    assert ".limit(" not in inspect.getsource(scale.measure)
+
+
+def test_registered_shuffled_lookup_moves_the_facts(spark):
+    from checks.queries import QUERIES
+
+    text = plan(QUERIES["region_prefix_shuffled"](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+    assert "hashpartitioning" in text
+
+
+def test_salts_follow_the_shuffle_partitions(spark):
+    assert scale.salts_for(spark, 10) == scale.JOIN_SALTS
+    assert scale.salts_for(spark, 10**9) == scale.JOIN_SALTS

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from callscape.schema import HOURLY_SERIES, PRESENCE_SERIES
@@ -77,3 +78,21 @@ def test_catalog_tables(spark):
     assert spark.table("t_counts").count() == 5
     tables.drop_tables(spark, "t_counts", "t_missing")
     assert not spark.catalog.tableExists("t_counts")
+
+
+def test_a_store_not_written_yet_is_empty_and_reruns_clear_their_windows(spark, tmp_path):
+    root = str(tmp_path / "store")
+    assert stored.read_profiles(spark, root, "t", [(2024, 1)]).isEmpty()
+    schema = "window_year int, window_week int, region string, user_id string, profile array<double>"
+    make = lambda *weeks: spark.createDataFrame(
+        [(2024, w, "r", f"u{w}", [0.5]) for w in weeks], schema)
+    weeks = [(2024, 1), (2024, 5)]
+    tables.write_profiles(make(1, 5, 9), root, "t", weeks)
+    tables.write_profiles(make(1), root, "01", weeks)
+    tables.write_profiles(make(5), root, "t", weeks)
+    left = stored.read_profiles(spark, root, "t").select("window_week").collect()
+    assert sorted(r[0] for r in left) == [5, 9]
+    assert stored.read_profiles(spark, root, "01").count() == 1
+    assert stored.read_profiles(spark, root, "1").isEmpty()
+    with pytest.raises(ValueError, match="folder"):
+        tables.write_profiles(make(1), root, "a/b")
