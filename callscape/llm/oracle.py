@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from callscape.llm.licenses import PHRASES, TEMPLATES
+
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -50,7 +52,73 @@ judged AS (
   LEFT JOIN gone g ON c.source IS NOT DISTINCT FROM g.source AND c.t = g.t)
 """
 
+
+
+def _list(text: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+
+
+def _key_phrases() -> str:
+    """(template, place in it, phrase) rows."""
+    rows = []
+    for k, (_, text, phrases) in enumerate(TEMPLATES):
+        words = text.split()
+        for phrase in phrases:
+            n = len(phrase.split())
+            at = next(q for q in range(len(words)) if words[q : q + n] == phrase.split())
+            rows.append(f"({k}, {at}, {_list(phrase)})")
+    return ", ".join(rows)
+
+
+LICENSES = f"""
+WITH templates AS (SELECT * FROM (VALUES {", ".join(
+    f"({k}, '{label}', {_list(text)})" for k, (label, text, _) in enumerate(TEMPLATES))})
+    AS v(k, label, t)),
+phrases AS (SELECT * FROM (VALUES {", ".join(
+    f"('{label}', {_list(text)})" for label, text in PHRASES)}) AS v(label, f)),
+keys AS (SELECT * FROM (VALUES {_key_phrases()}) AS v(k, q, f)),
+postings AS (SELECT k, generate_subscripts(t, 1) - 1 AS q, unnest(t) AS word FROM templates),
+vocabulary AS (SELECT DISTINCT word FROM postings UNION SELECT unnest(f) FROM phrases),
+docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+    translate(coalesce(text, ''), {UPPER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+hits AS (
+  SELECT r, i, word FROM (
+    SELECT r, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM docs) x
+  JOIN vocabulary USING (word)),
+base AS (
+  SELECT h.r, h.i, p.label FROM hits h JOIN docs d USING (r) JOIN phrases p
+    ON h.word = p.f[1] AND d.w[h.i + 1 : h.i + len(p.f)] = p.f),
+seen AS (SELECT DISTINCT r, word FROM hits),
+freq AS (SELECT word, count(*) AS df FROM seen GROUP BY word),
+top AS (SELECT r, word FROM seen JOIN freq USING (word)
+        QUALIFY row_number() OVER (PARTITION BY r ORDER BY df, word) <= 8),
+placed AS (
+  SELECT h.r, p.k, h.i - p.q AS at FROM hits h JOIN top USING (r, word) JOIN postings p USING (word)
+  GROUP BY ALL HAVING count(*) >= 2),
+good AS (
+  SELECT p.* FROM placed p JOIN docs d USING (r) JOIN keys y USING (k)
+  GROUP BY ALL
+  HAVING bool_and(p.at + y.q >= 0 AND d.w[p.at + y.q + 1 : p.at + y.q + len(y.f)] = y.f)),
+shares AS (
+  SELECT g.r, t.label,
+    len(list_filter(range(0, len(t.t)), lambda q: g.at + q >= 0 AND d.w[g.at + q + 1] = t.t[q + 1]))
+      / len(t.t) AS share
+  FROM good g JOIN docs d USING (r) JOIN templates t USING (k)),
+b AS (SELECT r, count(*) AS n, min(i) AS first_word, max(i) AS last_word,
+        list(DISTINCT label) AS labels FROM base GROUP BY r),
+m AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM shares GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base,
+  b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(
+    list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+  greatest(coalesce(m.share, 0.0), CASE WHEN b.n > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+FROM docs d LEFT JOIN b USING (r) LEFT JOIN m USING (r)"""
+
 ORACLE: dict[str, str] = {
+    "op4_license_scan": LICENSES,
     "op2_warc_archive": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d,
