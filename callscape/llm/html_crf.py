@@ -265,10 +265,11 @@ def main_texts(pages: DataFrame, max_pages: int = MAX_PAGES, made_pages: int = M
                ) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    sample = (
-        rows.where(F.length("html").between(1, MAX_PAGE_CHARS))
-        .select("html", F.xxhash64("page_id", "url").alias("h"), "page_id", "url")
-        .orderBy("h", "page_id", "url").limit(max_pages).select("html").collect()
-    )
+    named = rows.where(F.length("html").between(1, MAX_PAGE_CHARS)).select(
+        F.xxhash64("page_id", "url").alias("h"), "html")
+    # hashes first, so that no task sends pages which are not chosen; equal rows count once
+    chosen = named.select("h").distinct().orderBy("h").limit(max_pages)
+    sample = named.join(F.broadcast(chosen), "h").groupBy("h").agg(
+        F.min("html").alias("html")).collect()
     crf = train_crf(sorted(r["html"] for r in sample), made_pages)
     return rows.mapInArrow(_extract(crf), "page_id long, url string, text string, n_chars long")
