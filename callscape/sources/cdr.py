@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscape.functions.calendar import datetime_pattern, iso_week, iso_year, parse_timestamp
+from callscape.scale import scratch_path
 from callscape.schema import CdrLayout
 
 # The default and the strict date formats, and the field separator.
@@ -117,14 +118,24 @@ def read_cdr(
 ) -> DataFrame:
     """Read call-record text files.
 
-    ``mode='tolerant'`` drops unusable lines, and stores them under ``quarantine_path`` when
-    one is given; ``mode='strict'`` fails on the first one.
+    ``mode='tolerant'`` drops unusable lines; ``mode='strict'`` fails on the first one. With a
+    ``quarantine_path`` the lines are parsed once into an intermediate table with a folder for
+    either kind; the unusable ones are stored from there, and the records read from there.
     """
     lines = spark.read.text(path)
     if mode == "strict":
         return parse_cdr_strict(lines, layout, sep)
     if mode != "tolerant":
         raise ValueError(f"unknown mode {mode!r}")
-    if quarantine_path is not None:
-        rejected_lines(lines, layout, date_format, sep).write.mode("overwrite").text(quarantine_path)
-    return parse_cdr(lines, layout, date_format, sep)
+    if quarantine_path is None:
+        return parse_cdr(lines, layout, date_format, sep)
+    layout = layout or CdrLayout.default()
+    parsed = _tolerant_fields(lines, layout, date_format, sep)
+    usable = _all_present(layout.fields)
+    both = parsed.withColumn("rejected", ~usable).withColumn(
+        "value", F.when(F.col("rejected"), F.col("value")))
+    place = scratch_path(spark, "parsed")
+    both.write.partitionBy("rejected").parquet(place)
+    both = spark.read.schema(both.schema).parquet(place)
+    both.filter("rejected").select("value").write.mode("overwrite").text(quarantine_path)
+    return _with_week(both.filter("not rejected").drop("value", "rejected"))

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from datetime import date
 from pathlib import Path
@@ -62,6 +63,7 @@ def main() -> int:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="callscape-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

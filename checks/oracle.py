@@ -466,6 +466,15 @@ oracle("obs_sociometer", f"""
 # 2024 starts on a Monday: weeks counted from the first Monday are the ISO weeks.
 oracle("obs_sociometer_legacy", f"SELECT {SOCIO_ID}, {ISO_SUNDAY}, region AS region_id FROM shares")
 
+oracle("obs_sociometer_legacy_years", f"""
+    SELECT {SOCIO_ID}, strftime(d, '%Y-%m-%d %H:%M:%S') AS "date", region AS region_id
+    FROM (SELECT y AS window_year, window_week, region, user_class
+          FROM shares, (VALUES (2014), (2015), (2019), (2020)) AS v(y)) s
+    JOIN (SELECT CAST(d AS TIMESTAMP) AS d
+          FROM generate_series(DATE '2014-01-01', DATE '2020-12-31', INTERVAL 1 DAY) AS g(d)) c
+      ON year(d) = window_year AND isodow(d) = 7
+      AND CAST(strftime(d, '%W') AS INTEGER) = window_week""")
+
 API = """'{i}_' || _id AS _id, '{i}' AS indicator_id, '{i}' AS indicator_name,
     'http://example.com/{i}/{i}_' || _id AS uri, '1700000000' AS added_date,
     CAST(CAST(epoch(CAST("date" AS TIMESTAMP)) AS BIGINT) AS VARCHAR) AS "date",

@@ -569,6 +569,14 @@ def obs_sociometer_legacy(spark, sf):
     return O.sociometer_observations(shares, legacy_week=True).select("_id", "date", "region_id")
 
 
+@query
+def obs_sociometer_legacy_years(spark, sf):
+    """Shares moved to years in which weeks from the first Monday are not the ISO weeks."""
+    years = F.explode(F.array(*map(F.lit, [2014, 2015, 2019, 2020])))
+    shares = C.sociometer(_classified(spark, sf)).withColumn("window_year", years)
+    return O.sociometer_observations(shares, legacy_week=True).select("_id", "date", "region_id")
+
+
 @query
 def api_records(spark, sf):
     return O.to_api_records(O.presence_observations(_presence(spark, sf)), "AreaPresence", ADDED_DATE)
