@@ -11,10 +11,15 @@ import re
 
 from pyspark.sql import SparkSession
 
-from callscape.operators import classify, cluster, presence, publish
+from callscape.operators import classify, cluster, presence, publish, windows
 from callscape.functions.calendar import datetime_pattern
 from callscape.operators.peaks import in_period, with_peak_calendar
-from callscape.operators.profile import calling_activity, profile_vectors, untimed_records
+from callscape.operators.profile import (
+    calling_activity,
+    profile_vectors,
+    untimed_records,
+    user_profile_sql,
+)
 from callscape.plans.peaks import detect_peaks
 from callscape.scale import cut_lineage
 from callscape.schema import OD_SERIES, PRESENCE_SERIES, CdrLayout
@@ -22,6 +27,7 @@ from callscape.sinks import tables, text
 from callscape.sources import stored
 from callscape.sources.annotations import read_annotations
 from callscape.sources.cdr import DATE_FORMAT, read_cdr
+from callscape.sources.coverage import weeks_in_path
 from callscape.sources.dimensions import read_cell_list, read_cells
 
 
@@ -42,11 +48,42 @@ def profiling(spark, args):
     cells, calls = read_cells(spark, args.cells, key=args.key), _calls(spark, args)
     if args.quarantine:
         untimed_records(calls).write.mode("overwrite").parquet(f"{args.quarantine}-untimed")
-    activity = calling_activity(calls, cells, args.start, args.end, key=args.key)
+    activity = calling_activity(calls, cells, args.start, args.end, key=args.key,
+                                strict_site=args.strict_site)
     weeks = study_weeks(args.start, args.end)
     tables.write_profiles(profile_vectors(activity), args.out, args.tag, weeks)
 
 
+def sliding_profiling(spark, args):
+    """Profiles over overlapping windows of the complete weeks, of which there must be enough."""
+    cells = read_cells(spark, args.cells, key=args.key)
+    calls = cut_lineage(in_period(_calls(spark, args), args.start, args.end))
+    weeks = windows.require_weeks(windows.complete_weeks(calls), args.size)
+    found = windows.sliding_weeks(weeks, args.size, args.shift)
+    activity = calling_activity(calls, cells, size=args.size, windows=found, key=args.key,
+                                strict_site=args.strict_site)
+    tables.write_profiles(
+        profile_vectors(activity), args.out, args.tag, study_weeks(args.start, args.end))
+
+
+def weekly_profiling(spark, args):
+    """Active days per user, area, week, weekend flag and slot."""
+    cells = read_cells(spark, args.cells, key="prefix")
+    found = user_profile_sql(
+        _calls(spark, args), cells, tuple(args.weeks), strict_site=args.strict_site)
+    found.write.mode("overwrite").parquet(args.out)
+
+
+def store_by_week(spark, args):
+    tables.write_by_week(_calls(spark, args), args.out, rebalance=not args.ordered)
+
+
+def week_coverage(spark, args):
+    """The weeks that a folder of dated files covers, of which there must be enough."""
+    weeks = windows.require_weeks(weeks_in_path(spark, args.files, args.name_regex), args.least)
+    weeks.write.mode("overwrite").csv(args.out)
+
+
 def clustering(spark, args):
     weeks = study_weeks(args.start, args.end)
     profiles = stored.read_profiles(spark, args.profiles, args.tag, weeks)
@@ -76,18 +113,21 @@ def _labelled(spark, args):
 
 
 def presence_series(spark, args):
-    series = presence.presence(*_labelled(spark, args), grain=args.grain)
+    series = presence.presence(
+        *_labelled(spark, args), grain=args.grain, strict_site=args.strict_site)
     text.write_timeseries(series, args.out, text.PRESENCE_COLUMNS)
 
 
 def od_series(spark, args):
-    series = presence.od_matrix(*_labelled(spark, args), grain=args.grain)
+    series = presence.od_matrix(
+        *_labelled(spark, args), grain=args.grain, strict_site=args.strict_site)
     text.write_timeseries(series, args.out, text.OD_COLUMNS)
 
 
 def activity(spark, args):
     cells = read_cells(spark, args.cells, key=args.key)
-    hourly = presence.hourly_activity(_calls(spark, args), cells, args.grain, key=args.key)
+    hourly = presence.hourly_activity(_calls(spark, args), cells, args.grain, key=args.key,
+                                      strict_site=args.strict_site)
     text.write_timeseries(hourly, args.out, text.HOURLY_COLUMNS, sep=",")
 
 
@@ -142,10 +182,22 @@ def _parser() -> argparse.ArgumentParser:
             sub.add_argument("--date-format", default=DATE_FORMAT)
             sub.add_argument("--mode", choices=["tolerant", "strict"], default="tolerant")
             sub.add_argument("--quarantine", help="where unusable lines go")
+            sub.add_argument("--strict-site", action="store_true",
+                             help="cells shorter than a site have no site")
         return sub
 
-    job(profiling, "cdr", "cells", "tag", "start", "end", cdr=True).add_argument(
-        "--key", choices=["exact", "prefix"], default="exact")
+    for run in (profiling, sliding_profiling):
+        sub = job(run, "cdr", "cells", "tag", "start", "end", cdr=True)
+        sub.add_argument("--key", choices=["exact", "prefix"], default="exact")
+    sub.add_argument("--size", type=int, default=windows.WINDOW_WEEKS)
+    sub.add_argument("--shift", type=int, default=1)
+    job(weekly_profiling, "cdr", "cells", cdr=True).add_argument(
+        "--weeks", type=int, nargs=2, default=[8, 12], help="first and last ISO week number")
+    job(store_by_week, "cdr", cdr=True).add_argument(
+        "--ordered", action="store_true", help="input files hold few weeks each: no shuffle")
+    sub = job(week_coverage, "files")
+    sub.add_argument("--name-regex", default=r"(\d{8})[^/]*$")
+    sub.add_argument("--least", type=int, default=windows.WINDOW_WEEKS)
     sub = job(clustering, "profiles", "tag", "start", "end")
     sub.add_argument("--archetypes", help="file of id;label;values lines")
     sub.add_argument("--k", type=int, default=cluster.CLUSTERS)

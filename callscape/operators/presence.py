@@ -56,12 +56,13 @@ def od_matrix(
     annotations: DataFrame,
     grain: str | None = None,
     key: str = "prefix",
+    strict_site: bool = False,
 ) -> DataFrame:
     """Users per origin, destination and date.
 
     The origin is each region the user lives in; users who live in none come from outside.
     """
-    seen = presence_users(cdr, cells, grain, key).withColumnRenamed("region", "destination")
+    seen = presence_users(cdr, cells, grain, key, strict_site).withColumnRenamed("region", "destination")
     homes = (
         annotations.filter(F.col("user_class").isin(*HOME_CLASSES))
         .select("user_id", F.col("region").alias("origin"))
@@ -75,7 +76,11 @@ def od_matrix(
 
 
 def hourly_activity(
-    cdr: DataFrame, cells: DataFrame, grain: str | None = None, key: str = "exact"
+    cdr: DataFrame,
+    cells: DataFrame,
+    grain: str | None = None,
+    key: str = "exact",
+    strict_site: bool = False,
 ) -> DataFrame:
     """Distinct (user, cell) pairs per region, date and hour, and the cells involved.
 
@@ -83,7 +88,7 @@ def hourly_activity(
     cells of a region gathered, so the gathered list is bounded by the cell dimension.
     """
     moment = ["region", "date", "hour"]
-    pairs = attach_region(cdr, cells, key).select(
+    pairs = attach_region(cdr, cells, key, strict_site=strict_site).select(
         "region",
         at_grain(F.col("date"), grain).alias("date"),
         F.substring("time", 1, 2).alias("hour"),

@@ -36,6 +36,7 @@ def user_profile_sql(
     cells: DataFrame,
     weeks: tuple[int, int] = (8, 12),
     weekend: Iterable[int] = SATURDAY_SUNDAY,
+    strict_site: bool = False,
 ) -> DataFrame:
     """Active days per user, area, week, weekend flag and time slot, in that order.
 
@@ -44,7 +45,8 @@ def user_profile_sql(
     up in several years counts the days of each.
     """
     date = F.col("date")
-    placed = attach_region(cdr.filter(iso_week(date).between(*weeks)), cells, "prefix")
+    placed = attach_region(cdr.filter(iso_week(date).between(*weeks)), cells, "prefix",
+                           strict_site=strict_site)
     keys = ["user_id", "region", "week", "weekday", "time_slot"]
     by_year = (
         placed.select(
@@ -80,6 +82,7 @@ def calling_activity(
     windows: DataFrame | None = None,
     key: str = "exact",
     edges: tuple[int, int] = SLOT_EDGES,
+    strict_site: bool = False,
 ) -> DataFrame:
     """Which days and slots each user was active in, per window and region.
 
@@ -92,7 +95,7 @@ def calling_activity(
     them.
     """
     timed = cdr.withColumn("_hour", slot_hour(F.col("time"))).filter("_hour is not null")
-    in_region = attach_region(timed, cells, key)
+    in_region = attach_region(timed, cells, key, strict_site=strict_site)
     placed = in_window(in_region, windows) if windows is not None \
         else assign_tumbling(in_region, start, end, size)
     bit = slot_of_hour(F.col("_hour"), edges) * DAYS + day_of_week(F.col("date"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callscape.functions.calendar import day_of_week, iso_week, iso_year
+from callscape.scale import lookup_join
 
 # Fixed value: weeks in an analysis window.
 WINDOW_WEEKS = 4
@@ -90,9 +91,9 @@ def sliding_weeks(weeks: DataFrame, size: int = WINDOW_WEEKS, shift: int = 1) ->
 def in_window(df: DataFrame, windows: DataFrame) -> DataFrame:
     """Keep the records of weeks in ``windows`` and add the window columns.
 
-    The windows hold at most ``size`` rows per calendar week, so they can be broadcast.
+    The windows are measured before they are broadcast.
     """
-    return df.join(F.broadcast(windows), ["iso_year", "iso_week"])
+    return lookup_join(df, windows, ["iso_year", "iso_week"])
 
 
 def assign_tumbling(

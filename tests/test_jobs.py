@@ -43,3 +43,32 @@ def test_chain(spark, tmp_path):
     assert spark.read.parquet(p("shares")).count() == spark.read.json(p("obs_s")).count() > 0
     assert spark.read.parquet(p("peaks")).count() > 0
     assert "," in spark.read.text(p("hourly")).first()[0]
+
+
+def test_other_jobs(spark, tmp_path):
+    p = lambda name: str(tmp_path / name)
+    (tmp_path / "in").mkdir()
+    with open(p("in/calls-20150105.csv"), "w") as f:
+        for user, cell, when, clock, *_ in random_calls(3000):
+            f.write(f"{user};;;{when};{clock};0;;;;{cell};;V\n")
+    with open(p("cells.csv"), "w") as f:
+        f.writelines(f"{site}_x;{region}\n" for site, region in SITES)
+    with open(p("sites.csv"), "w") as f:
+        f.writelines(f"{site};{region}\n" for site, region in SITES)
+    with open(p("study.txt"), "w") as f:
+        f.write(" 00001_x\n 00002_x\n 00002_x\n")
+    calls, cells = p("in/calls-20150105.csv"), p("cells.csv")
+    main(["sliding-profiling", calls, cells, "t", "2014-12-22", "2015-01-29", "--size", "2", "--out", p("sliding")])
+    starts = spark.read.parquet(p("sliding")).select("window_week").distinct().count()
+    assert starts > 2
+    main(["weekly-profiling", calls, p("sites.csv"), "--weeks", "2", "4", "--strict-site", "--out", p("weekly")])
+    assert {r[0] for r in spark.read.parquet(p("weekly")).select("week").distinct().collect()} == {2, 3, 4}
+    main(["store-by-week", calls, "--out", p("stored")])
+    assert spark.read.parquet(p("stored")).count() == spark.read.text(calls).count()
+    main(["week-coverage", p("in"), "--least", "1", "--out", p("weeks")])
+    assert [tuple(r) for r in spark.read.csv(p("weeks")).collect()] == [("2015", "2")]
+    main(["peaks", calls, "--cells", p("study.txt"), "--start", "2015-01-01", "--end", "2015-01-25",
+          "--base-days", "1", "14", "--from-doy", "15", "--min-diff", "0", "--out", p("peaks")])
+    found = spark.read.parquet(p("peaks"))
+    assert {r[0] for r in found.select("rid").distinct().collect()} == {"00001_x", "00002_x"}
+    assert found.agg({"doy": "max"}).first()[0] <= 25
