@@ -44,23 +44,24 @@ from callscape.llm.shingles import mix, shingle_sets
 PERCENT = 90
 BLOCK_ROWS = 128
 BLOCK_TOKENS = 1 << 16
-STEP = 1.25  # ratio of the size classes
 SPARE = 2  # segments beyond those that differences can reach, at least
 MAX_SUBSETS = 600
 BROADCAST_IDS = 500_000
+BROADCAST_SIGNATURES = 2_000_000  # 32 MB; more of them join by shuffle
 
 
-def _class_starts() -> np.ndarray:
-    starts, at = [], 1.0
+@cache
+def class_starts(percent: int) -> np.ndarray:
+    """Least sizes of the size classes. Twice the span of linked sizes (as a ratio) makes few
+    signatures: in wider classes differences are bounded worse, in narrower ones more documents
+    belong to two."""
+    step, starts, at = (100 / percent) ** 2, [], 1.0
     while at < 1 << 40:
         starts.append(int(np.ceil(at)))
-        at = max(at * STEP, at + 1)
+        at = max(at * step, at + 1)
     return np.array(starts)
 
 
-CLASS_STARTS = _class_starts()
-
-
 def max_difference(size: int, percent: int) -> int:
     """Most shingles in which a set of ``size`` and a linked one at least as large can differ.
 
@@ -76,7 +77,8 @@ def segment_shape(c: int, percent: int) -> tuple[int, int, bool]:
     spare, and whether subsets of empty segments, rather than one mark for all sets with more empty
     segments than spare ones, stand in. Subsets serve while they are few; beyond, so many segments
     are spare that such sets hardly occur."""
-    low, differ = int(CLASS_STARTS[c]), max_difference(int(CLASS_STARTS[c + 1]) - 1, percent)
+    starts = class_starts(percent)
+    low, differ = int(starts[c]), max_difference(int(starts[c + 1]) - 1, percent)
     if not differ:
         return 0, 0, False
     empty = lambda parts: parts * math.exp(-low / parts)
@@ -86,7 +88,7 @@ def segment_shape(c: int, percent: int) -> tuple[int, int, bool]:
         return differ + 1 + spare, spare, True
     while spare < 4 * differ:
         x = empty(differ + 1 + spare)
-        if spare >= x + 6 * math.sqrt(x):
+        if spare >= x + 4.5 * math.sqrt(x):
             break
         spare += max(1, spare // 8)
     return differ + 1 + spare, spare, False
@@ -96,7 +98,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the segments of a set, for its own size class and those of smaller partners."""
     n = len(s)
     least = -(-n * percent // 100)
-    low, high = np.searchsorted(CLASS_STARTS, [least, n], side="right") - 1
+    low, high = np.searchsorted(class_starts(percent), [least, n], side="right") - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
     out = [np.zeros(0, np.uint64)]
     for c in range(low, high + 1):
@@ -203,7 +205,8 @@ def _grouped(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> Data
     shared = stored(
         used.groupBy("sig").agg(F.min("k").alias("lead"), F.max("k").alias("other"))
         .where("lead <> other").select("sig", "lead"), "shared")
-    stars = stored(used.join(shared, "sig").select(
+    few = shared.count() <= BROADCAST_SIGNATURES
+    stars = stored(used.join(F.broadcast(shared) if few else shared, "sig").select(
         F.col("k").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
     group = connected_components(stars)
     group = group.unionByName(group.select(F.col("root").alias("v"), "root").distinct())
