@@ -16,7 +16,9 @@ Neither step loses a link. Segments hold about nine shingles, so a passage or li
 documents share does not put them in one group. Blocks have at most ``BLOCK_ROWS`` documents and,
 but for a single longer one, ``BLOCK_TOKENS`` shingles; a task sees two blocks at a time, and what
 leaves it is one row per linked document, never its pairs. Within a group of many *different* near
-copies the work is quadratic in its number of blocks.
+copies the work is quadratic in its number of blocks. Segments shrink with the similarity: at 80 %
+they hold three or four shingles, documents with a passage in common share some by chance, and groups
+grow; see the README for what this costs.
 
 Nulls and texts without words have empty sets: they link with nothing and are their own
 components. A null doc_id takes part in links, but does not name a component unless nothing else
@@ -44,24 +46,24 @@ from callscape.llm.shingles import mix, shingle_sets
 PERCENT = 90
 BLOCK_ROWS = 128
 BLOCK_TOKENS = 1 << 16
+STEP = 1.25  # ratio of the size classes
 SPARE = 2  # segments beyond those that differences can reach, at least
 MAX_SUBSETS = 600
 BROADCAST_IDS = 500_000
 BROADCAST_SIGNATURES = 2_000_000  # 32 MB; more of them join by shuffle
 
 
-@cache
-def class_starts(percent: int) -> np.ndarray:
-    """Least sizes of the size classes. Twice the span of linked sizes (as a ratio) makes few
-    signatures: in wider classes differences are bounded worse, in narrower ones more documents
-    belong to two."""
-    step, starts, at = (100 / percent) ** 2, [], 1.0
+def _class_starts() -> np.ndarray:
+    starts, at = [], 1.0
     while at < 1 << 40:
         starts.append(int(np.ceil(at)))
-        at = max(at * step, at + 1)
+        at = max(at * STEP, at + 1)
     return np.array(starts)
 
 
+CLASS_STARTS = _class_starts()
+
+
 def max_difference(size: int, percent: int) -> int:
     """Most shingles in which a set of ``size`` and a linked one at least as large can differ.
 
@@ -77,8 +79,8 @@ def segment_shape(c: int, percent: int) -> tuple[int, int, bool]:
     spare, and whether subsets of empty segments, rather than one mark for all sets with more empty
     segments than spare ones, stand in. Subsets serve while they are few; beyond, so many segments
     are spare that such sets hardly occur."""
-    starts = class_starts(percent)
-    low, differ = int(starts[c]), max_difference(int(starts[c + 1]) - 1, percent)
+    low = int(CLASS_STARTS[c])
+    differ = max_difference(int(CLASS_STARTS[c + 1]) - 1, percent)
     if not differ:
         return 0, 0, False
     empty = lambda parts: parts * math.exp(-low / parts)
@@ -98,7 +100,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the segments of a set, for its own size class and those of smaller partners."""
     n = len(s)
     least = -(-n * percent // 100)
-    low, high = np.searchsorted(class_starts(percent), [least, n], side="right") - 1
+    low, high = np.searchsorted(CLASS_STARTS, [least, n], side="right") - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
     out = [np.zeros(0, np.uint64)]
     for c in range(low, high + 1):
