@@ -50,7 +50,7 @@ STEP = 1.25  # ratio of the size classes
 SPARE = 2  # segments beyond those that differences can reach, at least
 MAX_SUBSETS = 600
 BROADCAST_IDS = 500_000
-BROADCAST_SIGNATURES = 2_000_000  # 32 MB; more of them join by shuffle
+BROADCAST_SIGNATURES = 200_000  # 3 MB; more of them join by shuffle
 
 
 def _class_starts() -> np.ndarray:
