@@ -3,14 +3,16 @@
 Base labels come from three phrases whose words stand consecutively. The method adds labels from
 licence templates:
 
-1. Each text's words are looked up among the words of the templates; those it has are ranked by
-   inverse document frequency over all documents (equal ones alphabetically), and the ``top_words``
-   highest are kept.
-2. Their occurrences are met with the templates' postings. An occurrence at word p and a posting at
-   word q place the template at p - q; placements named by at least ``min_support`` occurrences
-   survive.
+1. Each mandatory key phrase of a template is indexed by its rarest word: the one of highest inverse
+   document frequency over all documents (of equal ones the first alphabetically).
+2. Every occurrence of an index word in a text is met with the postings. An occurrence at word p and
+   a posting at word q place the template at p - q; placements named by the index words of all the
+   template's phrases survive.
 3. At a surviving placement all mandatory key phrases of the template must stand where the template
-   has them.
+   has them, and at least ``min_support`` of its words be in place.
+
+Nothing else limits the search: a template that stands in a text has its index words in place, so it
+is found whatever other licences or rare words the text holds.
 
 The score is the largest share of a verified template's words that are in place, at least 0.5 when
 a base phrase occurs, else 0.
@@ -92,14 +94,30 @@ def word_weights(docs: DataFrame) -> dict[str, float]:
     return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in VOCABULARY}
 
 
-def _postings() -> Column:
-    """Map from a template word to its (template, position) pairs."""
-    places: dict[str, list[Column]] = {}
-    for k, (_, text, _) in enumerate(TEMPLATES):
-        for q, word in enumerate(text.split()):
-            places.setdefault(word, []).append(
-                F.struct(F.lit(k).alias("t"), F.lit(q).alias("q")))
-    return F.create_map(*[c for w, p in places.items() for c in (F.lit(w), F.array(*p))])
+def _place(words: list[str], phrase: str) -> int:
+    """Where the template has the phrase."""
+    n = len(phrase.split())
+    return next(q for q in range(len(words)) if words[q : q + n] == phrase.split())
+
+
+def index_places(weights: dict[str, float]) -> list[list[tuple[int, str]]]:
+    """For each template, place and word of the rarest word of each key phrase."""
+    places = []
+    for _, text, phrases in TEMPLATES:
+        words = text.split()
+        spans = [range(a, a + len(f.split())) for f in phrases for a in [_place(words, f)]]
+        rarest = {min(span, key=lambda q: (-weights[words[q]], words[q], q)) for span in spans}
+        places.append([(q, words[q]) for q in sorted(rarest)])
+    return places
+
+
+def _postings(places: list[list[tuple[int, str]]]) -> Column:
+    """Map from an index word to its (template, position) pairs."""
+    found: dict[str, list[Column]] = {}
+    for k, indexed in enumerate(places):
+        for q, word in indexed:
+            found.setdefault(word, []).append(F.struct(F.lit(k).alias("t"), F.lit(q).alias("q")))
+    return F.create_map(*[c for w, p in found.items() for c in (F.lit(w), F.array(*p))])
 
 
 def _stands(at: Column, phrase: str) -> Column:
@@ -121,51 +139,43 @@ def _verified(place: Column) -> Column:
         words = text.split()
         good = F.lit(True)
         for phrase in phrases:
-            n = len(phrase.split())
-            offset = next(q for q in range(len(words)) if words[q : q + n] == phrase.split())
-            good = good & _stands(place["p"] + offset, phrase)
+            good = good & _stands(place["p"] + _place(words, phrase), phrase)
         result = F.when(place["t"] == k, good).otherwise(result)
     return result
 
 
-def _share(place: Column) -> Column:
-    """Share of the placed template's words that are in place."""
+def _in_place(place: Column) -> Column:
+    """Number and share of the placed template's words that are in place."""
     texts = F.array(*[_strings(text.split()) for _, text, _ in TEMPLATES])
     words = F.element_at(texts, place["t"] + 1)
-    hits = F.filter(words, lambda w, q: (place["p"] + q >= 0)
-                    & F.coalesce(F.get("_w", place["p"] + q) == w, F.lit(False)))
-    return F.size(hits) / F.size(words)
+    hits = F.size(F.filter(words, lambda w, q: (place["p"] + q >= 0)
+                           & F.coalesce(F.get("_w", place["p"] + q) == w, F.lit(False))))
+    return F.struct(place["t"].alias("t"), hits.alias("n"), (hits / F.size(words)).alias("share"))
 
 
-def license_scan(docs: DataFrame, top_words: int = 8, min_support: int = 2) -> DataFrame:
+def license_scan(docs: DataFrame, min_support: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    weights = word_weights(docs)
-    weight = F.create_map(*[c for w, x in weights.items() for c in (F.lit(w), F.lit(-x))])
+    places = index_places(word_weights(docs))
     df = once(docs.select("doc_id", "text"), _w=_words())
     placed = F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    df = once(df, _hits=F.filter(placed, lambda x: x["w"].isin(VOCABULARY)))
-    ranked = F.array_sort(F.transform(F.array_distinct("_hits.w"), lambda w: F.struct(
-        weight[w].alias("x"), w.alias("w"))))
+    wanted = {w for indexed in places for _, w in indexed} | {p.split()[0] for _, p in PHRASES}
+    df = once(df, _hits=F.filter(placed, lambda x: x["w"].isin(sorted(wanted))))
     starts = [_phrase_starts(label, phrase) for label, phrase in PHRASES]
-    df = once(df, _base=F.concat(*starts), _top=F.slice(ranked, 1, top_words)["w"])
-    postings = _postings()
-    named = F.filter("_hits", lambda x: F.array_contains("_top", x["w"]))
-    placements = F.flatten(F.transform(named, lambda x: F.transform(
+    postings = _postings(places)
+    placements = F.flatten(F.transform("_hits", lambda x: F.transform(
         F.coalesce(postings[x["w"]], F.array().cast("array<struct<t:int,q:int>>")),
         lambda y: F.struct(y["t"].alias("t"), (x["i"] - y["q"]).alias("p")))))
-    df = once(df, _places=F.sort_array(placements))
-    before = F.slice("_places", 1, F.greatest(F.size("_places") - (min_support - 1), F.lit(0)))
-    after = F.slice("_places", min_support,
-                    F.greatest(F.size("_places") - (min_support - 1), F.lit(0)))
-    agreed = F.array_distinct(F.transform(
-        F.filter(F.arrays_zip(before.alias("a"), after.alias("b")), lambda z: z["a"] == z["b"]),
-        lambda z: z["a"]))
-    df = once(df, _good=F.filter(agreed, _verified))
+    df = once(df, _base=F.concat(*starts), _places=F.sort_array(placements))
+    more = F.array(*[F.lit(len(indexed) - 1) for indexed in places])
+    agreed = F.array_distinct(F.filter("_places", lambda x, s: F.coalesce(
+        F.get("_places", s + F.element_at(more, x["t"] + 1)) == x, F.lit(False))))
+    df = once(df, _good=F.filter(F.transform(F.filter(agreed, _verified), _in_place),
+                                 lambda z: z["n"] >= min_support))
     names = _strings([label for label, _, _ in TEMPLATES])
     base = F.col("_base.label")
     found = F.transform("_good", lambda z: F.element_at(names, z["t"] + 1))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    best = F.coalesce(F.array_max(F.transform("_good", _share)), F.lit(0.0))
+    best = F.coalesce(F.array_max("_good.share"), F.lit(0.0))
     return df.select(
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -65,6 +66,42 @@ def test_license_scan_matches_brute_force(spark, edge_docs, no_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def complete(words):
+    """Labels and score of all placements whose key phrases stand, without any look-up."""
+    labels = {label for label, p in PHRASES for k in range(len(words)) if stands(words, k, p)}
+    score = 0.5 if labels else 0.0
+    for label, text, phrases in TEMPLATES:
+        at = [len(text[: text.index(f)].split()) for f in phrases]
+        for p in range(-len(text.split()), len(words)):
+            if all(stands(words, p + a, f) for a, f in zip(at, phrases, strict=True)):
+                labels.add(label)
+                score = max(score, sum(p + q >= 0 and words[p + q : p + q + 1] == [v]
+                                       for q, v in enumerate(text.split())) / len(text.split()))
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_no_licence_of_a_file_hides_another(spark):
+    sentences = {label: t for label, t, _ in TEMPLATES}
+    every = [t for _, t, _ in TEMPLATES]
+    rng = random.Random(3)
+    texts = [" ".join(every), " filler ".join(reversed(every)), sentences["bsd"] + ". " + every[11],
+             sentences["bsd"] + " " + sentences["lgpl"],
+             "\n".join(sentences[x] for x in ("bsd", "isc", "mpl", "lgpl")),
+             " ".join(VOCABULARY) + " " + sentences["cc-by-nd"] + " " + " ".join(VOCABULARY),
+             "sa cc by nc by cc", "license " * 50 + "cc by sa " * 3]
+    for _ in range(40):
+        words = " ".join(rng.sample(every, rng.randint(2, 9))).split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan(docs).collect()}
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+    assert got == {i: complete(split(t)) for i, t in enumerate(texts)}
+    assert set(got[0][0].split(",")) == set(sentences)
+    assert {r["labels"] for r in license_scan(docs, min_support=99).where("n_base = 0").collect()} == {""}
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [(1, "http://a/", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b/\r\nX: y", ""),
