@@ -8,8 +8,9 @@ and a document is rejected when too little of it remains.
 - A host is the value of ``source``; a null host is a host of its own.
 - Documents of one host with equal texts count as one, so exact copies do not make each other's
   lines common; copies get the same verdict.
-- A line is above the limits when at least ``min_docs`` distinct documents of its host hold it
-  and they are at least ``max_share`` of the host's distinct documents.
+- A line is above the limits when at least ``min_docs`` distinct documents of its host hold it,
+  however large the host is, or when those that hold it are at least ``max_share`` of the host's
+  distinct documents and at least ``min_share_docs``, so that small hosts have common lines too.
 - Null and empty texts have no words and fail the base rules. Rows are judged one by one:
   repeated rows and null ids keep their rows. Columns besides the named ones pass through.
 """
@@ -79,7 +80,7 @@ def base_failed(min_words: int = 50, max_repeat_pct: int = 50) -> Column:
 
 
 def common_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1,
-                 min_left: float = 0.3) -> DataFrame:
+                 min_left: float = 0.3, min_share_docs: int = 3) -> DataFrame:
     """Documents (host, text key) that hold a line above the limits: the hashes of those lines
     and whether less than ``min_left`` of the words remain without them.
 
@@ -99,9 +100,11 @@ def common_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1,
     held = kinds.select("host", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
     common = (
         held.groupBy("host", "line").agg(F.count("*").alias("n_held"))
-        .where(F.col("n_held") >= min_docs)
+        .where(F.col("n_held") >= min(min_docs, min_share_docs))
         .join(hosts, "host")
-        .where(F.col("n_held") >= max_share * F.col("n_docs"))
+        .where((F.col("n_held") >= min_docs) | (
+            (F.col("n_held") >= min_share_docs)
+            & (F.col("n_held") >= max_share * F.col("n_docs"))))
         .select("host", "line")
     )
     found = (

@@ -74,6 +74,24 @@ def test_common_lines_are_removed_and_depleted_documents_rejected(spark):
     assert len(kept) == 30 and not any(common in r["text"] for r in kept)
 
 
+def test_more_documents_on_a_host_do_not_hide_a_common_line(spark):
+    line = "a line that pages of this host repeat below their text"
+
+    def host(name, n, held, start):
+        return [(start + k, (line + "\n" if k < held else "")
+                 + " ".join(f"w{start + k}x{j}" for j in range(60)), name) for k in range(n)]
+
+    rows = host("large", 400, 20, 0) + host("rare", 400, 19, 1000) + host("small", 8, 3, 2000)
+    rows += host("pair", 8, 2, 3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = quality_filter(docs)
+    assert left.count() == len(rows)
+    assert {(r["source"], r["n"]) for r in left.where(F.col("text").contains(line)).groupBy(
+        "source").agg(F.count("*").alias("n")).collect()} == {("rare", 19), ("pair", 2)}
+    short = quality_report(docs, min_left=0.9).where("not kept")
+    assert {r["doc_id"] for r in short.collect()} == {*range(20), *range(2000, 2003)}
+
+
 def test_empty_table(no_docs):
     assert quality_report(no_docs).isEmpty() and quality_filter(no_docs).isEmpty()
     assert len(edge_texts()) > 60
