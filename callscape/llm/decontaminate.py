@@ -17,9 +17,12 @@ pieces: an item of L words within k edits keeps one of k + 1 pieces whole, so no
 
 Items are the query set: they are taken in blocks of about ``ITEM_BLOCK``, each block's index is
 sent to the tasks, and the documents are scanned once per block without a shuffle. An item of over
-``ITEM_WORDS`` words is searched in parts of that length. Items and documents without words, nulls
-and empty texts among them, match nothing. Repeated rows give one result. Only doc_id, text, item_id
-and text are read.
+``ITEM_WORDS`` words is searched by parts of about equal length up to that: within ``max_edits`` of
+the item, one part at least is within ``max_edits`` of its own. A part that matches only says where to
+look; the whole item is verified by its exact edit distance around that place. Items and documents
+without words, nulls and empty texts among them, match nothing. Items without an item_id are searched
+like others, each text of them an item of its own. Repeated rows give one result. Only doc_id, text,
+item_id and text are read.
 """
 
 from __future__ import annotations
@@ -93,10 +96,18 @@ def edit_distances(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """What a block of items looks like to the tasks."""
 
-    def __init__(self, items: list[tuple[int, str]], max_edits: float, recall: float):
-        parts = [(i, w[a : a + ITEM_WORDS]) for i, t in items for w in [words_of(t)]
-                 for a in range(0, len(w), ITEM_WORDS)]
-        self.ids = np.array([i for i, _ in parts], np.int64)
+    def __init__(self, items: list[tuple[int | None, str, int]], max_edits: float, recall: float):
+        self.whole = [w for _, t, _ in items for w in [words_of(t)]]
+        cuts = [np.linspace(0, len(w), -(-len(w) // ITEM_WORDS) + 1).astype(np.int64)
+                for w in self.whole]
+        parts = [(k, self.whole[k][a:b]) for k, c in enumerate(cuts)
+                 for a, b in zip(c[:-1], c[1:], strict=True)]
+        self.owner = np.array([k for k, _ in parts], np.int64)
+        self.offset = np.concatenate([np.zeros(0, np.int64), *[c[:-1] for c in cuts]])
+        self.long = np.array([len(w) > ITEM_WORDS for w in self.whole], bool)[self.owner]
+        self.limit = [int(len(w) * max_edits + 1e-9) for w in self.whole]
+        self.ids = pa.array([i for i, _, _ in items], pa.int64())
+        self.named = pa.array([n for _, _, n in items], pa.int64())
         self.length = np.array([len(w) for _, w in parts], np.int64)
         self.edits = np.floor(self.length * max_edits + 1e-9).astype(np.int64)
         self.words = np.full((len(parts), int(self.length.max(initial=1))), _PAD)
@@ -112,7 +123,7 @@ class ItemIndex:
         """Places of enough samples that an item at its largest distance shares one of them with
         the chance ``recall``, by trial on edited copies."""
         rng = np.random.default_rng(7)
-        pick = rng.permutation(len(self.ids))[:200]
+        pick = rng.permutation(len(self.length))[:200]
         samples = 8
         shares = rng.random((WALKS, samples, PLACES))
         if len(pick):
@@ -151,7 +162,7 @@ class ItemIndex:
                                    np.array([f[2] for f in found])[order], filled)
 
     def matches(self, words: np.ndarray, first: np.ndarray, last: np.ndarray):
-        """(place in ``words``, item, edits) of verified matches. Word p belongs to the document
+        """Place in ``words``, item and edits of verified matches. Word p belongs to the document
         whose words are ``first[p]`` to ``last[p]`` (exclusive)."""
         starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         homes = [np.zeros(0, np.int64)]
@@ -186,7 +197,31 @@ class ItemIndex:
             around = _cut(words, start[w] - 2 * k, int(n) + 4 * k, first[home[w]], last[home[w]])
             edits[mine] = edit_distances(self.words[item[mine], :n], around)
         good = edits <= self.edits[item]
-        return np.maximum(start, first[home])[window[good]], item[good], edits[good]
+        window, item, edits = window[good], item[good], edits[good]
+        part = self.long[item]
+        at = home[window[part]]
+        long = self._around(words, start[window[part]] - self.offset[item[part]],
+                            self.owner[item[part]], first[at], last[at])
+        short = (np.maximum(start, first[home])[window], self.owner[item], edits)
+        return tuple(np.concatenate([a[~part], b]) for a, b in zip(short, long, strict=True))
+
+    def _around(self, words: np.ndarray, start: np.ndarray, item: np.ndarray, first: np.ndarray,
+                last: np.ndarray) -> np.ndarray:
+        """Place, item and edits of the whole items that match where their parts put their start.
+        Starts in one document up to the item's edits apart are looked at together."""
+        groups: list[tuple[int, int, int, int]] = []
+        for r in np.lexsort((start, first, item)):
+            i, f, s = int(item[r]), int(first[r]), int(start[r])
+            if not groups or groups[-1][:2] != (i, f) or s - groups[-1][2] > self.limit[i]:
+                groups.append((i, f, s, int(last[r])))
+        found = []
+        for i, f, s, end in groups:
+            whole, k = self.whole[i], self.limit[i]
+            around = words[max(s - 2 * k, f) : min(s + len(whole) + 3 * k, end)]
+            edits = int(edit_distances(whole[None], around[None])[0])
+            if edits <= k:
+                found.append((max(s, f), i, edits))
+        return np.array(found, np.int64).reshape(-1, 3).T
 
 
 def _expand(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,9 +265,10 @@ def _match_batch(index: ItemIndex, batch: pa.RecordBatch, rows: list[int], texts
     place = np.minimum(place, max(len(words) - 1, 0))
     owner = pa.array(np.array(rows)[doc[place]] if len(place) else np.zeros(0, int))
     return pa.RecordBatch.from_arrays(
-        [batch["doc_id"].take(owner), batch["row"].take(owner), pa.array(index.ids[item]),
+        [batch["doc_id"].take(owner), batch["row"].take(owner),
+         index.ids.take(pa.array(item)), index.named.take(pa.array(item)),
          pa.array(place - first[place] if len(place) else place), pa.array(edits)],
-        ["doc_id", "row", "item_id", "start_word", "n_edits"])
+        ["doc_id", "row", "item_id", "item", "start_word", "n_edits"])
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2,
@@ -240,8 +276,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2
     """doc_id, row (a hash of id and text), item_id, start_word and n_edits: the best match, then
     the first, of each document with each item that contaminates it."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
-        "item_id is not null and text is not null")
+    items = benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"), "text",
+        F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(0).alias("item"),
+    ).where("text is not null")
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64("doc_id", "text").alias("row"), "text")
@@ -249,12 +287,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         index = spark.sparkContext.broadcast(
-            ItemIndex([(r["item_id"], r["text"]) for r in block], max_edits, recall))
+            ItemIndex([(r["item_id"], r["text"], r["item"]) for r in block], max_edits, recall))
         found = rows.mapInArrow(_scan(index), "doc_id long, row long, item_id long, "
-                                "start_word long, n_edits long")
+                                "item long, start_word long, n_edits long")
         out = found if out is None else out.unionByName(found)
     best = F.min(F.struct("n_edits", "start_word")).alias("best")
-    return out.groupBy("doc_id", "row", "item_id").agg(best).select(
+    return out.groupBy("doc_id", "row", "item_id", "item").agg(best).select(
         "doc_id", "row", "item_id", "best.start_word", "best.n_edits")
 
 

@@ -73,3 +73,29 @@ def test_leaks_are_found_and_clean_documents_stay(spark, edge_docs, no_docs):
     assert decontaminated(edge_docs, bench).count() == edge_docs.count()
     assert contamination_report(no_docs, bench).isEmpty() and decontaminated(no_docs, bench).isEmpty()
     assert contamination_report(docs, bench.limit(0)).isEmpty()
+
+
+def test_long_items_are_verified_whole_and_items_without_an_id_are_searched(spark):
+    rng = random.Random(21)
+    items = [(k, sentence(rng, n)) for k, n in enumerate((512, 513, 516, 600, 1100))]
+    items += [(None, sentence(rng, 25)), (None, sentence(rng, 30))]
+    rows, want = [], {}
+    for k, (item, text) in enumerate(items):
+        words = text.split()
+        limit = int(0.2 * len(words) + 1e-9)
+        docs = [words[-1:], words[-4:], words[:512] if len(words) > 700 else words[:300]]
+        docs += [edited(rng, words, n) for n in (0, limit // 2, limit - 2, limit + 3, 2 * limit)]
+        for j, inner in enumerate(docs):
+            doc = sentence(rng, 20 * j).split() + inner + sentence(rng, 15).split()
+            rows.append((100 * k + j, " ".join(doc)))
+            d = distance(words_of(text).tolist(), words_of(rows[-1][1]).tolist())
+            if d <= limit:
+                want[100 * k + j, item] = d
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = contamination_report(docs, bench).collect()
+    got = {(r["doc_id"], r["item_id"]): r["n_edits"] for r in found}
+    assert len(got) == len(found) and got.items() <= want.items()
+    assert len(got) >= len(want) - 1 and {i for _, i in got} == {None, 0, 1, 2, 3, 4}
+    kept = {r["doc_id"] for r in decontaminated(docs, bench).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, _ in got}
