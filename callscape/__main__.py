@@ -16,9 +16,11 @@ from callscape.functions.calendar import datetime_pattern
 from callscape.operators.peaks import in_period, with_peak_calendar
 from callscape.operators.profile import (
     calling_activity,
+    merge_weeks,
     profile_vectors,
     untimed_records,
     user_profile_sql,
+    weekly_states,
 )
 from callscape.plans.peaks import detect_peaks
 from callscape.scale import cut_lineage
@@ -59,9 +61,8 @@ def sliding_profiling(spark, args):
     cells = read_cells(spark, args.cells, key=args.key)
     calls = cut_lineage(in_period(_calls(spark, args), args.start, args.end))
     weeks = windows.require_weeks(windows.complete_weeks(calls), args.size)
-    found = windows.sliding_weeks(weeks, args.size, args.shift)
-    activity = calling_activity(calls, cells, size=args.size, windows=found, key=args.key,
-                                strict_site=args.strict_site)
+    states = weekly_states(calls, cells, key=args.key, strict_site=args.strict_site)
+    activity = merge_weeks(states, weeks, args.size, args.shift)
     tables.write_profiles(
         profile_vectors(activity), args.out, args.tag, study_weeks(args.start, args.end))
 

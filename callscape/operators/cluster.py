@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from callscape.functions.vectors import nearest
 from callscape.scale import cut_lineage
+from callscape.sources.stored import of_windows
 from callscape.schema import (
     ARCHETYPE_SCHEMA,
     CENTROID_SCHEMA,
@@ -52,7 +50,8 @@ CLUSTERS = 100
 MAX_ITERATIONS = 20
 RESTARTS = 5
 
-TRAIN_SIDE_BY_SIDE = 8
+TOLERANCE = 1e-4  # distance by which a centre of a settled run moves at most
+ASSIGN_ROWS = 4096
 
 
 def _small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
@@ -88,18 +87,72 @@ def read_archetypes(spark: SparkSession, path: str, sep: str = ";") -> DataFrame
     )
 
 
-def _fit(vectors: DataFrame, k: int, max_iter: int, seed: int) -> tuple[float, list]:
-    """Cost and sorted centres of one randomly started run. There are at most as many centres as
-    vectors; one vector is its own centre, as training takes two at least."""
-    if k == 1:
-        mean = vectors.select(Summarizer.mean(F.col("features"), F.col("weight"))).first()[0]
-        return 0.0, [[float(x) for x in mean]]
-    model = KMeans(
-        k=k, maxIter=max_iter, initMode="random", seed=seed,
-        featuresCol="features", weightCol="weight",
-    ).fit(vectors)
-    centers = sorted([float(x) for x in center] for center in model.clusterCenters())
-    return model.summary.trainingCost, centers
+def _starts(merged: DataFrame, k: int, seeds: list[int]) -> dict:
+    """Random distinct vectors of every (window, seed): the ``k`` of least hash. Partial limits keep
+    all but ``k`` rows of a task from the exchange."""
+    draws = merged.select(*WINDOW_KEYS, "profile", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    line = Window.partitionBy(*WINDOW_KEYS, "seed").orderBy(F.xxhash64("profile", "seed"), "profile")
+    drawn = draws.withColumn("at", F.row_number().over(line)).filter(F.col("at") <= k)
+    found: dict = {}
+    for row in drawn.orderBy(*WINDOW_KEYS, "seed", "at").collect():  # the first centres
+        runs = found.setdefault((row["window_year"], row["window_week"]), {})
+        runs.setdefault(row["seed"], []).append(row["profile"])
+    return {window: np.array([runs[seed] for seed in seeds]) for window, runs in found.items()}
+
+
+def _assigned(models: dict):
+    """Sums of one task: each weighted vector is given to its nearest centre in every run of its
+    window. ``models`` has centres as (run, centre, value) by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {w: np.zeros((c.shape[0] * c.shape[1], c.shape[2] + 2)) for w, c in models.items()}
+        for whole in batches:
+            for at in range(0, whole.num_rows, ASSIGN_ROWS):
+                batch = whole.slice(at, ASSIGN_ROWS)
+                year, week, weight = (batch.column(c).to_numpy() for c in (*WINDOW_KEYS, "weight"))
+                for window in np.unique(np.stack([year, week], axis=1), axis=0).tolist():
+                    mine = np.flatnonzero((year == window[0]) & (week == window[1]))
+                    centers = models[tuple(window)]
+                    runs, k, d = centers.shape
+                    flat = centers.reshape(-1, d)
+                    x = batch.column("profile").take(pa.array(mine)).flatten().to_numpy().reshape(-1, d)
+                    w = weight[mine]
+                    apart = (flat * flat).sum(axis=1) - 2 * (x @ flat.T)
+                    apart = apart.reshape(-1, runs, k)
+                    near = apart.argmin(axis=2)
+                    cost = np.take_along_axis(apart, near[:, :, None], 2)[:, :, 0] + (x * x).sum(axis=1)[:, None]
+                    slot = (near + np.arange(runs) * k).ravel()
+                    each = lambda v: np.bincount(slot, np.repeat(v, runs), runs * k)
+                    total = sums[tuple(window)]
+                    total[:, 0] += each(w)
+                    total[:, 1] += np.bincount(slot, (np.maximum(cost, 0) * w[:, None]).ravel(), runs * k)
+                    for value in range(d):
+                        total[:, 2 + value] += each(x[:, value] * w)
+        for (year, week), total in sums.items():
+            used = np.flatnonzero(total[:, 0])
+            if len(used):
+                yield pa.RecordBatch.from_pylist(
+                    [{"window_year": year, "window_week": week, "slot": int(i), "sums": total[i].tolist()}
+                     for i in used], _SUMS)
+    return run
+
+
+_SUMS = pa.schema([("window_year", pa.int32()), ("window_week", pa.int32()), ("slot", pa.int32()),
+                   ("sums", pa.list_(pa.float64()))])
+
+
+def _pass(merged: DataFrame, models: dict) -> dict:
+    """Weight, cost and vector sums per (run, centre) of every window, in one job."""
+    width = max(c.shape[2] for c in models.values()) + 2
+    partial = merged.mapInArrow(
+        _assigned(models), "window_year int, window_week int, slot int, sums array<double>")
+    total = partial.groupBy(*WINDOW_KEYS, "slot").agg(
+        *[F.sum(F.get("sums", F.lit(i))).alias(f"v{i}") for i in range(width)])
+    found = {w: np.zeros((c.shape[0] * c.shape[1], c.shape[2] + 2)) for w, c in models.items()}
+    for row in total.collect():  # a row per centre
+        sums = found[row["window_year"], row["window_week"]]
+        sums[row["slot"]] = row[3 : 3 + sums.shape[1]]
+    return {w: v.reshape(*models[w].shape[:2], -1) for w, v in found.items()}
 
 
 def fit_clusters(
@@ -113,39 +166,43 @@ def fit_clusters(
     """K-means centres of the profile vectors, one model per window.
 
     Profiles take few distinct values, so equal vectors are merged into one weighted vector
-    before training: the cost and the updates are the same, over far fewer rows. Random starts
-    are drawn from the distinct vectors. The merged vectors are stored and cached, as each of the
-    ``restarts * max_iter`` passes reads them. The runs of all windows are independent, so their
-    jobs share the cluster instead of queueing.
+    before training: the cost and the updates are the same, over far fewer rows. The merged vectors
+    are stored and cached. Random starts are drawn from them, so a window has at most as many
+    centres as distinct vectors.
+
+    All windows and restarts are trained together. A pass is one job: each vector meets the centres of
+    every run of its window, a task leaves one row of sums per centre, and these are added in a single
+    exchange. So the number of jobs depends on ``max_iter`` alone, and what reaches the driver is
+    ``restarts * k`` centres per window. Runs whose centres moved less than ``TOLERANCE`` drop out of
+    further updates; passes end when none is left.
     """
     spark = profiles.sparkSession
     sampled = profiles if sample_fraction >= 1.0 else profiles.sample(sample_fraction, seed)
     merged = cut_lineage(
         sampled.groupBy(*WINDOW_KEYS, "profile").agg(F.count("*").cast("double").alias("weight"))
-    )
-    windows = merged.groupBy(*WINDOW_KEYS).agg(F.count("*").alias("n")).orderBy(*WINDOW_KEYS).collect()
-    vectors = merged.select(
-        *WINDOW_KEYS, array_to_vector("profile").alias("features"), "weight").persist()
+    ).persist()
     try:
-        vectors.count()  # fill the cache once, before the runs start side by side
-
-        def fit(task):
-            window, run = task
-            here = vectors.filter(
-                (F.col("window_year") == window["window_year"])
-                & (F.col("window_week") == window["window_week"]))
-            return _fit(here, min(k, window["n"]), max_iter, seed + run)
-
-        tasks = [(window, run) for window in windows for run in range(restarts)]
-        with ThreadPool(min(len(tasks), TRAIN_SIDE_BY_SIDE) or 1) as pool:
-            runs = pool.map(inheritable_thread_target(spark)(fit), tasks, chunksize=1)
+        models = _starts(merged, k, [seed + run for run in range(restarts)])
+        moving = {w: np.ones(len(c), bool) for w, c in models.items()}
+        for _ in range(max_iter):
+            live = {w: c for w, c in models.items() if moving[w].any()}
+            if not live:
+                break
+            here = merged if len(live) == len(models) else of_windows(merged, live)
+            for window, sums in _pass(here, live).items():
+                weight = sums[:, :, :1]
+                moved = np.where(weight > 0, sums[:, :, 2:] / np.maximum(weight, 1e-300), models[window])
+                step = np.sqrt(((moved - models[window]) ** 2).sum(axis=2)).max(axis=1)
+                change = moving[window][:, None, None]
+                models[window] = np.where(change, moved, models[window])
+                moving[window] &= step > TOLERANCE
+        costs = {w: s[:, :, 1].sum(axis=1) for w, s in _pass(merged, models).items()} if models else {}
     finally:
-        vectors.unpersist()
+        merged.unpersist()
     centers = []
-    for at, window in enumerate(windows):
-        best = min(runs[at * restarts : (at + 1) * restarts], key=lambda found: found[0])
-        centers += [(window["window_year"], window["window_week"], i, center)
-                    for i, center in enumerate(best[1])]
+    for window in sorted(models):
+        best = models[window][int(np.argmin(costs[window]))]
+        centers += [(*window, i, center) for i, center in enumerate(sorted(best.tolist()))]
     return _small_frame(spark, centers, CENTROID_SCHEMA)
 
 

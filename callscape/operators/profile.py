@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscape.functions.calendar import (
@@ -20,7 +20,14 @@ from callscape.functions.calendar import (
     slot_of_hour,
 )
 from callscape.operators.spatial import attach_region
-from callscape.operators.windows import WINDOW_WEEKS, assign_tumbling, in_window
+from callscape.operators.windows import (
+    WINDOW_WEEKS,
+    assign_tumbling,
+    in_window,
+    ranked_weeks,
+    sliding_weeks,
+)
+from callscape.scale import lookup_join
 from callscape.schema import WINDOW_KEYS
 
 SLOTS = 3
@@ -73,6 +80,68 @@ def untimed_records(cdr: DataFrame) -> DataFrame:
     return cdr.filter(slot_hour(F.col("time")).isNull())
 
 
+def _timed_in_region(cdr: DataFrame, cells: DataFrame, key: str, strict_site: bool) -> DataFrame:
+    timed = cdr.withColumn("_hour", slot_hour(F.col("time"))).filter("_hour is not null")
+    return attach_region(timed, cells, key, strict_site=strict_site)
+
+
+def _active_bit(edges: tuple[int, int]) -> Column:
+    """The bit of a call's (slot, day of week)."""
+    bit = slot_of_hour(F.col("_hour"), edges) * DAYS + day_of_week(F.col("date"))
+    return F.call_function("shiftleft", F.lit(1), bit)
+
+
+def weekly_states(
+    cdr: DataFrame,
+    cells: DataFrame,
+    key: str = "exact",
+    edges: tuple[int, int] = SLOT_EDGES,
+    strict_site: bool = False,
+) -> DataFrame:
+    """One integer per user, region and ISO week with a bit for each active (slot, day of week).
+
+    A week's states never change when other weeks arrive, so they can be stored once and merged into
+    any windows by :func:`merge_weeks`. States of the same week from several inputs merge by
+    ``bit_or``.
+    """
+    return (
+        _timed_in_region(cdr, cells, key, strict_site)
+        .groupBy("iso_year", "iso_week", "region", "user_id")
+        .agg(F.bit_or(_active_bit(edges)).alias("mask"))
+    )
+
+
+def merge_weeks(
+    states: DataFrame, weeks: DataFrame, size: int = WINDOW_WEEKS, shift: int = 1
+) -> DataFrame:
+    """The activity of :func:`calling_activity` over sliding windows of ``weeks``, from weekly states.
+
+    Each state takes part once: the weeks of a user and region meet in one exchange as a map from
+    position in the calendar to mask, which holds at most one integer per week of the study. Its
+    windows are read off that map, so neither calls nor states are copied per window. ``weeks`` and
+    the windows have a row per week; both are measured before they are broadcast.
+    """
+    calendar = ranked_weeks(weeks)
+    bounds = sliding_weeks(weeks, size, shift).filter("week_idx = 0").join(
+        calendar, ["iso_year", "iso_week"]).select(
+        F.col("pos").alias("begin"), *WINDOW_KEYS, "n_weeks")
+    placed = lookup_join(states, calendar, ["iso_year", "iso_week"])
+    users = placed.groupBy("region", "user_id", "pos").agg(F.bit_or("mask").alias("mask")).groupBy(
+        "region", "user_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "mask"))).alias("masks"))
+    step = F.lit(shift).cast("bigint")
+    last = lambda pos: F.floor(pos / step) * step
+    first = lambda pos: F.greatest(F.ceil((pos - (size - 1)) / step) * step, F.lit(0).cast("bigint"))
+    begins = F.array_distinct(F.flatten(F.transform(
+        F.map_keys("masks"), lambda pos: F.when(
+            first(pos) <= last(pos), F.sequence(first(pos), last(pos), step))
+        .otherwise(F.array().cast("array<bigint>")))))
+    windows = users.select("region", "user_id", "masks", F.explode(begins).alias("begin"))
+    masks = [F.coalesce(F.try_element_at("masks", F.col("begin") + week), F.lit(0)).alias(f"mask_{week}")
+             for week in range(size)]
+    return lookup_join(windows, bounds, "begin").select(
+        *WINDOW_KEYS, "n_weeks", "region", "user_id", *masks)
+
+
 def calling_activity(
     cdr: DataFrame,
     cells: DataFrame,
@@ -94,12 +163,10 @@ def calling_activity(
     Records without a readable hour have no slot and are left out; :func:`untimed_records` has
     them.
     """
-    timed = cdr.withColumn("_hour", slot_hour(F.col("time"))).filter("_hour is not null")
-    in_region = attach_region(timed, cells, key, strict_site=strict_site)
+    in_region = _timed_in_region(cdr, cells, key, strict_site)
     placed = in_window(in_region, windows) if windows is not None \
         else assign_tumbling(in_region, start, end, size)
-    bit = slot_of_hour(F.col("_hour"), edges) * DAYS + day_of_week(F.col("date"))
-    flag = F.call_function("shiftleft", F.lit(1), bit)
+    flag = _active_bit(edges)
     masks = [
         F.bit_or(F.when(F.col("week_idx") == week, flag).otherwise(0)).alias(f"mask_{week}")
         for week in range(size)

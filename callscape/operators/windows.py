@@ -61,15 +61,19 @@ def tumbling_weeks(weeks: DataFrame, size: int = WINDOW_WEEKS) -> DataFrame:
     )
 
 
+def ranked_weeks(weeks: DataFrame) -> DataFrame:
+    """Distinct ISO weeks with their position ``pos`` from 0; the calendar has a row per week."""
+    return weeks.select("iso_year", "iso_week").withColumn(
+        "pos", (F.row_number().over(Window.orderBy("iso_year", "iso_week")) - 1).cast("bigint"))
+
+
 def sliding_weeks(weeks: DataFrame, size: int = WINDOW_WEEKS, shift: int = 1) -> DataFrame:
     """Windows of up to ``size`` available weeks, one starting every ``shift`` weeks.
 
     ``weeks`` holds distinct ISO weeks; gaps are stepped over. A week appears once per
     window it belongs to.
     """
-    ranked = weeks.select("iso_year", "iso_week").withColumn(
-        "pos", F.row_number().over(Window.orderBy("iso_year", "iso_week")) - 1
-    )
+    ranked = ranked_weeks(weeks)
     last = F.floor(F.col("pos") / shift) * shift
     first = F.greatest(F.ceil((F.col("pos") - size + 1) / shift) * shift, F.lit(0))
     block = Window.partitionBy("begin")

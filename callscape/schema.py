@@ -65,6 +65,16 @@ PROFILE_SCHEMA = T.StructType(
     ]
 )
 
+WEEK_STATE_SCHEMA = T.StructType(
+    [
+        T.StructField("iso_year", T.IntegerType()),
+        T.StructField("iso_week", T.IntegerType()),
+        T.StructField("region", T.StringType()),
+        T.StructField("user_id", T.StringType()),
+        T.StructField("mask", T.IntegerType()),
+    ]
+)
+
 CENTROID_SCHEMA = T.StructType(
     [
         T.StructField("window_year", T.IntegerType()),

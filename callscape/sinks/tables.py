@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscape.commit import replace_partitions
 from callscape.schema import WINDOW_KEYS
-from callscape.sources import stored
 
 
 def _overwrite_parts(df: DataFrame, root: str, keys: list[str]) -> None:
@@ -21,44 +21,32 @@ def _overwrite_parts(df: DataFrame, root: str, keys: list[str]) -> None:
     )
 
 
-def _clear(df: DataFrame, root: str, tag: str, weeks, read) -> None:
-    """Empty the stored windows of ``weeks``. Each holds a file without rows afterwards."""
-    spark = df.sparkSession
-    held = read(spark, root, tag, weeks).select(*WINDOW_KEYS).distinct().collect()
-    nothing = df.drop("tag", *WINDOW_KEYS).limit(0)
-    for year, week in held:
-        nothing.write.mode("overwrite").parquet(
-            f"{root}/tag={tag}/window_year={year}/window_week={week}")
-
-
-def _write_windows(df: DataFrame, root: str, tag: str, weeks, read, order: list[str]) -> None:
+def _write_windows(df: DataFrame, root: str, tag: str, weeks, order: list[str]) -> None:
     """One folder per tag and window. The rebalance hint gathers the rows of a window into
     files of the advisory size; a large window is split over several.
 
-    The windows of ``weeks``, the study's, are emptied first, so that one without rows in this
-    run does not keep those of an earlier run. ``df`` must not read from the same store.
+    Stored windows of ``weeks``, the study's, that have no rows in this run are removed in the same
+    commit. A run that fails leaves the store as it was.
     """
     if not re.fullmatch(r"[\w.-]+", tag, re.ASCII):
         raise ValueError(f"a tag names a folder: {tag!r}")
-    if weeks is not None:
-        _clear(df, root, tag, weeks, read)
+    study = {f"tag={tag}/window_year={year}/window_week={week}" for year, week in weeks or ()}
     tagged = df.withColumn("tag", F.lit(tag)).hint("rebalance", *WINDOW_KEYS)
-    _overwrite_parts(tagged.sortWithinPartitions(*order) if order else tagged, root,
-                     ["tag", *WINDOW_KEYS])
+    replace_partitions(tagged.sortWithinPartitions(*order) if order else tagged, root,
+                       ["tag", *WINDOW_KEYS], study.__contains__)
 
 
 def write_profiles(profiles: DataFrame, root: str, tag: str, weeks=None) -> None:
-    _write_windows(profiles, root, tag, weeks, stored.read_profiles, [])
+    _write_windows(profiles, root, tag, weeks, [])
 
 
 def write_centroids(centroids: DataFrame, root: str, tag: str, weeks=None) -> None:
-    _write_windows(centroids, root, tag, weeks, stored.read_centroids, [])
+    _write_windows(centroids, root, tag, weeks, [])
 
 
 def write_sociometer(shares: DataFrame, root: str, tag: str, weeks=None) -> None:
     """Class shares, sorted by region inside each window."""
-    _write_windows(shares, root, tag, weeks, stored.read_sociometer,
-                   [*WINDOW_KEYS, "region", "user_class"])
+    _write_windows(shares, root, tag, weeks, [*WINDOW_KEYS, "region", "user_class"])
 
 
 def write_annotations(annotations: DataFrame, root: str, tag: str) -> None:
@@ -75,6 +63,12 @@ def write_by_week(cdr: DataFrame, root: str, rebalance: bool = False) -> None:
     _overwrite_parts(cdr.hint("rebalance", *keys) if rebalance else cdr, root, keys)
 
 
+def write_weekly_states(states: DataFrame, root: str) -> None:
+    """States of :func:`callscape.operators.profile.weekly_states`, one folder per ISO week; the weeks
+    of ``states`` replace stored ones in one commit, others stay."""
+    replace_partitions(states.hint("rebalance", "iso_year", "iso_week"), root, ["iso_year", "iso_week"])
+
+
 def create_table(df: DataFrame, name: str, path: str | None = None) -> None:
     """CREATE OR REPLACE TABLE ... AS, at ``path`` if given."""
     writer = df.write.mode("overwrite")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callscape.schema import CENTROID_SCHEMA, PROFILE_SCHEMA, SHARE_SCHEMA
-
+from callscape.commit import recover
+from callscape.schema import CENTROID_SCHEMA, PROFILE_SCHEMA, SHARE_SCHEMA, WEEK_STATE_SCHEMA
 
 LABELLED_CENTROID_SCHEMA = T.StructType(
     [*CENTROID_SCHEMA.fields, T.StructField("label", T.StringType())])
@@ -20,6 +20,11 @@ def _stored(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """The store at ``root``, or no rows if nothing was written there yet. A tag is text: the tags
     ``1`` and ``01`` differ."""
     whole = T.StructType([*schema.fields, T.StructField("tag", T.StringType())])
+    return _read(spark, root, whole)
+
+
+def _read(spark: SparkSession, root: str, whole: T.StructType) -> DataFrame:
+    recover(spark, root)
     try:
         return spark.read.schema(whole).parquet(root)
     except AnalysisException as missing:
@@ -55,6 +60,11 @@ def read_sociometer(spark, root, tag, weeks=None) -> DataFrame:
     return _by_window(spark, root, tag, weeks, SHARE_SCHEMA)
 
 
+def read_weekly_states(spark, root) -> DataFrame:
+    """Stored weekly states; prunes partitions by ISO year and week."""
+    return _read(spark, root, WEEK_STATE_SCHEMA)
+
+
 def read_timeseries(spark: SparkSession, path: str, schema: T.StructType, sep: str = ";") -> DataFrame:
     """Delimited result files with a known column order."""
     return spark.read.csv(path, schema=schema, sep=sep)

@@ -17,10 +17,12 @@ from callscape.operators import publish as O
 from callscape.operators import windows as W
 from callscape.operators.profile import (
     calling_activity,
+    merge_weeks,
     profile_vectors,
     untimed_records,
     user_profile,
     user_profile_sql,
+    weekly_states,
 )
 from callscape.operators.spatial import attach_region, site
 from callscape.plans.peaks import detect_peaks, peak_ratios
@@ -283,12 +285,10 @@ def user_profile_entries(spark, sf):
 
 @query
 def user_profile_sliding(spark, sf):
-    """Profiles over overlapping windows of the complete weeks."""
+    """Profiles over overlapping windows of the complete weeks, merged from weekly states."""
     calls = S.cdr(spark, sf)
-    windows = W.sliding_weeks(W.complete_weeks(calls), size=2, shift=1)
-    return user_profile(
-        calling_activity(calls, S.cells(spark, sf), size=2, windows=windows, key="prefix")
-    )
+    states = weekly_states(calls, S.cells(spark, sf), key="prefix")
+    return user_profile(merge_weeks(states, W.complete_weeks(calls), size=2, shift=1))
 
 
 @query

@@ -174,3 +174,27 @@ def test_archetype_files_are_read_in_order(spark, tmp_path):
     (folder / "b.csv").write_text("".join(f"1;later{i};0.3;0.4\n" for i in range(500)))
     found = K.read_archetypes(spark, str(folder)).orderBy("ordinal").collect()
     assert [r["label"] for r in found] == ["first", *[f"later{i}" for i in range(500)]]
+
+
+def test_jobs_do_not_grow_with_windows_and_restarts(spark):
+    schema = "window_year int, window_week int, region string, user_id string, profile array<double>"
+    make = lambda windows: spark.createDataFrame(
+        [(2024, w, "r", str(i), [float(i * i % 13), float(i % 7)]) for w in range(windows) for i in range(60)], schema)
+    jobs = []
+    for windows, restarts in ((1, 1), (6, 4)):
+        group = f"kmeans-{windows}"
+        spark.sparkContext.setJobGroup(group, "")
+        found = K.fit_clusters(make(windows), k=4, max_iter=3, restarts=restarts)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        spark.sparkContext.setJobGroup("", "")
+        assert found.groupBy("window_week").count().filter("count = 4").count() == windows
+    assert jobs[0] == jobs[1]
+
+
+def test_short_windows_train_beside_long_ones(spark):
+    schema = "window_year int, window_week int, region string, user_id string, profile array<double>"
+    data = [(2024, 1, "r", str(i), [float(i % 2) * 9] * 12) for i in range(20)]
+    data += [(2024, 9, "r", str(i), [float(i % 3)] * 6) for i in range(30)]
+    got = K.fit_clusters(spark.createDataFrame(data, schema), k=3, restarts=3)
+    assert sorted((r["window_week"], tuple(r["center"])) for r in got.collect()) == [
+        (1, (0.0,) * 12), (1, (9.0,) * 12), (9, (0.0,) * 6), (9, (1.0,) * 6), (9, (2.0,) * 6)]

@@ -7,9 +7,11 @@ from callscape.functions.calendar import MONDAY_SUNDAY, SATURDAY_SUNDAY
 from callscape.operators import windows as W
 from callscape.operators.profile import (
     calling_activity,
+    merge_weeks,
     profile_vectors,
     user_profile,
     user_profile_sql,
+    weekly_states,
 )
 
 from helpers import REGION_OF, calls, plan, random_calls, rows, sites
@@ -105,3 +107,19 @@ def test_sql_profile_by_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted((*k, len(v)) for k, v in days.items())
     order = [(r["user_id"], r["week"], r["weekday"], r["time_slot"]) for r in got]
     assert order == sorted(order)
+
+
+@pytest.mark.parametrize("size, shift", [(2, 1), (4, 1), (3, 2), (2, 3)])
+def test_windows_merged_from_weekly_states(spark, size, shift):
+    data = random_calls(400)
+    df = calls(spark, data)
+    cells = spark.createDataFrame([(c, f"r{i % 3}") for i, c in enumerate(sorted({r[1] for r in data}))],
+                                  "cell_id string, region string")
+    weeks = W.weeks_available(df)
+    want = calling_activity(df, cells, size=size, windows=W.sliding_weeks(weeks, size, shift))
+    states = weekly_states(df, cells)
+    got = merge_weeks(states, weeks, size, shift)
+    assert got.columns == want.columns and rows(got) == rows(want)
+    # states that came in two loads, one of them twice
+    loads = states.filter("pmod(iso_week, 2) = 0").unionByName(states)
+    assert rows(merge_weeks(loads, weeks, size, shift)) == rows(want)

@@ -4,7 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from callscape.schema import HOURLY_SERIES, PRESENCE_SERIES
+from callscape import commit
+from callscape.schema import HOURLY_SERIES, PRESENCE_SERIES, WEEK_STATE_SCHEMA
 from callscape.sinks import tables, text
 from callscape.sources import stored
 
@@ -96,3 +97,72 @@ def test_a_store_not_written_yet_is_empty_and_reruns_clear_their_windows(spark,
     assert stored.read_profiles(spark, root, "1").isEmpty()
     with pytest.raises(ValueError, match="folder"):
         tables.write_profiles(make(1), root, "a/b")
+
+
+def _weeks_of(spark, root, tag):
+    return rows(stored.read_profiles(spark, root, tag).select("window_week", "user_id"))
+
+
+def test_a_failed_write_leaves_the_store_as_it_was(spark, tmp_path):
+    root, weeks = str(tmp_path / "p"), [(2024, 1), (2024, 5)]
+    old = spark.createDataFrame([(2024, 1, "r", "u", [1.0]), (2024, 5, "r", "u", [2.0])], PROFILE)
+    tables.write_profiles(old, root, "t", weeks)
+    dead = old.withColumn("user_id", F.when(F.col("window_week") == 5, F.raise_error(F.lit("lost"))).otherwise("v"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_profiles(dead, root, "t", weeks)
+    assert _weeks_of(spark, root, "t") == [(1, "u"), (5, "u")]
+    assert not [p for p in (tmp_path / "p").iterdir() if p.name.startswith("_staging")]
+
+
+@pytest.mark.parametrize("steps", [0, 1, 2])
+def test_a_commit_that_dies_is_ended_by_the_next_reader(spark, tmp_path, monkeypatch, steps):
+    root, weeks = str(tmp_path / "p"), [(2024, 1), (2024, 5), (2024, 9)]
+    make = lambda user, *found: spark.createDataFrame([(2024, w, "r", user, [1.0]) for w in found], PROFILE)
+    tables.write_profiles(make("u", 1, 5, 9), root, "t", weeks)
+    whole = commit._move
+
+    def dies(spark, root, name, journal):
+        lines = journal.splitlines(keepends=True)[:steps]
+        monkeypatch.setattr(commit, "_JOURNAL", "_none-")  # the journal and the stage stay
+        monkeypatch.setattr(commit, "_STAGE", "_staging-")
+        files = commit._files(spark, root)
+        for line in lines:
+            step, part = line.split()
+            place = commit._path(spark, root, part)
+            files.delete(place, True)
+            if step == "replace":
+                files.rename(commit._path(spark, root, "_staging-" + name, part), place)
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(commit, "_move", dies)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        tables.write_profiles(make("v", 1, 5), root, "t", weeks)
+    monkeypatch.undo()
+    assert commit._move is whole
+    assert _weeks_of(spark, root, "t") == [(1, "v"), (5, "v")]
+    assert [p.name for p in (tmp_path / "p").iterdir() if p.name[0] == "_"] == []
+    tables.write_profiles(make("w", 9), root, "t")
+    assert _weeks_of(spark, root, "t") == [(1, "v"), (5, "v"), (9, "w")]
+
+
+def test_a_store_may_be_rewritten_from_itself_in_one_job(spark, tmp_path):
+    root = str(tmp_path / "p")
+    data = [(2024, w, "r", "u", [1.0]) for w in range(1, 13)]
+    tables.write_profiles(spark.createDataFrame(data, PROFILE), root, "t")
+    spark.sparkContext.setJobGroup("rewrite", "")
+    own = stored.read_profiles(spark, root, "t").filter("window_week > 2")
+    tables.write_profiles(own, root, "t", [(2024, w) for w in range(1, 13)])
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rewrite")
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(w for w, _ in _weeks_of(spark, root, "t")) == list(range(3, 13))
+    assert len(jobs) <= 2  # the exchange and the write
+
+
+def test_weekly_states_are_stored_week_by_week(spark, tmp_path):
+    root = str(tmp_path / "w")
+    make = lambda *data: spark.createDataFrame(data, WEEK_STATE_SCHEMA)
+    assert stored.read_weekly_states(spark, root).count() == 0
+    tables.write_weekly_states(make((2024, 1, "r", "u", 3), (2024, 2, "r", "u", 1)), root)
+    tables.write_weekly_states(make((2024, 2, "r", "u", 5), (2024, 3, "r", "v", 7)), root)
+    assert rows(stored.read_weekly_states(spark, root).select(*WEEK_STATE_SCHEMA.names)) == [
+        (2024, 1, "r", "u", 3), (2024, 2, "r", "u", 5), (2024, 3, "r", "v", 7)]
