@@ -94,7 +94,8 @@ def _starts(merged: DataFrame, k: int, seeds: list[int]) -> dict:
     line = Window.partitionBy(*WINDOW_KEYS, "seed").orderBy(F.xxhash64("profile", "seed"), "profile")
     drawn = draws.withColumn("at", F.row_number().over(line)).filter(F.col("at") <= k)
     found: dict = {}
-    for row in drawn.orderBy(*WINDOW_KEYS, "seed", "at").collect():  # the first centres
+    rows = drawn.drop("at").withColumn("order", F.xxhash64("profile", "seed")).collect()
+    for row in sorted(rows, key=lambda r: (r["order"], r["profile"])):  # the first centres
         runs = found.setdefault((row["window_year"], row["window_week"]), {})
         runs.setdefault(row["seed"], []).append(row["profile"])
     return {window: np.array([runs[seed] for seed in seeds]) for window, runs in found.items()}
@@ -141,17 +142,26 @@ _SUMS = pa.schema([("window_year", pa.int32()), ("window_week", pa.int32()), ("s
                    ("sums", pa.list_(pa.float64()))])
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of several tasks added per centre; a key's rows are all here."""
+    found: dict = {}
+    for batch in batches:
+        for year, week, slot, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = year, week, slot
+            found[key] = found[key] + np.array(sums) if key in found else np.array(sums)
+    for (year, week, slot), sums in found.items():
+        yield pa.RecordBatch.from_pylist(
+            [{"window_year": year, "window_week": week, "slot": slot, "sums": sums.tolist()}], _SUMS)
+
+
 def _pass(merged: DataFrame, models: dict) -> dict:
     """Weight, cost and vector sums per (run, centre) of every window, in one job."""
-    width = max(c.shape[2] for c in models.values()) + 2
-    partial = merged.mapInArrow(
-        _assigned(models), "window_year int, window_week int, slot int, sums array<double>")
-    total = partial.groupBy(*WINDOW_KEYS, "slot").agg(
-        *[F.sum(F.get("sums", F.lit(i))).alias(f"v{i}") for i in range(width)])
+    schema = "window_year int, window_week int, slot int, sums array<double>"
+    partial = merged.mapInArrow(_assigned(models), schema)
+    total = partial.repartition(*WINDOW_KEYS, "slot").mapInArrow(_added, schema)
     found = {w: np.zeros((c.shape[0] * c.shape[1], c.shape[2] + 2)) for w, c in models.items()}
     for row in total.collect():  # a row per centre
-        sums = found[row["window_year"], row["window_week"]]
-        sums[row["slot"]] = row[3 : 3 + sums.shape[1]]
+        found[row["window_year"], row["window_week"]][row["slot"]] = row["sums"]
     return {w: v.reshape(*models[w].shape[:2], -1) for w, v in found.items()}
 
 
