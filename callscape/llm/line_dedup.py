@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscape.llm.common import stored
+from callscape.scale import with_row_number
 
 PIECES = 4
 CLASS = 16  # lines of CLASS * c to CLASS * c + CLASS - 1 characters have pieces of equal length
@@ -86,35 +87,45 @@ def _near_lines(occ: DataFrame) -> DataFrame:
              F.min(mine).alias("at")),
         "framed",
     )
-    spots = F.sequence(F.lit(0), F.length("piece"))
-    cut = F.concat(F.left("piece", F.col("i") - 1), F.substring(F.col("piece"), F.col("i") + 1,
-                                                               F.length("piece")))
+    # a candidate line's number follows its first place, so comparing numbers compares places
+    lines = with_row_number(
+        found.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("line").alias("line")),
+        ["at", "h1", "h2"], "no").select("no", "h1", "h2", "line")
+    lines = stored(lines, "lines")
+    pieces = stored(found.select("h1", "h2", "frame", "piece").join(lines.drop("line"), ["h1", "h2"])
+                    .select("no", "frame", "piece"), "pieces")
+    # the hash alone shows which variants several lines have; only those meet again
+    seen = _variants(pieces).groupBy("v").agg(F.min("no").alias("a"), F.max("no").alias("b"))
+    common = stored(seen.where("a <> b").select("v"), "common")
+    if common.count() <= BROADCAST_KEYS:
+        common = F.broadcast(common)
+    variants = stored(_variants(pieces).join(common, "v").select("v", "i", "no"), "variants")
+    swaps = variants.where("i > 0").groupBy("v", "i").agg(F.min("no").alias("lead"))
     whole = F.col("i") == 0
-    me = F.struct("at", "h1", "h2").alias("me")
-    variants = found.withColumn("i", F.explode(spots)).select(
-        "h1", "h2", me, "i",
-        F.xxhash64("frame", F.when(whole, F.col("piece")).otherwise(cut)).alias("v"))
-    swaps = variants.where("i > 0").groupBy("v", "i").agg(F.min("me").alias("lead"))
-    whole_first = F.min(F.when(whole, F.col("me"))).alias("short")
-    cut_first = F.min(F.when(~whole, F.col("me"))).alias("long")
-    shifts = variants.groupBy("v").agg(whole_first, cut_first).where(
-        "short is not null and long is not null")
-    pairs = variants.where("i > 0").join(swaps, ["v", "i"]).select("me", "lead").unionByName(
+    shifts = variants.groupBy("v").agg(
+        F.min(F.when(whole, F.col("no"))).alias("short"), F.min(F.when(~whole, F.col("no"))).alias("long"),
+    ).where("short is not null and long is not null")
+    pairs = variants.where("i > 0").join(swaps, ["v", "i"]).select("no", "lead").unionByName(
         variants.join(shifts, "v").select(
-            "me", F.when(whole, F.col("long")).otherwise(F.col("short")).alias("lead")))
-    pairs = pairs.where(F.col("lead.at") < F.col("me.at")).select(
-        F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"),
-        F.col("lead.h1").alias("g1"), F.col("lead.h2").alias("g2")).distinct()
-    texts = found.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    lead = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"),
-                        F.col("line").alias("lead_line"))
+            "no", F.when(whole, F.col("long")).otherwise(F.col("short")).alias("lead")))
+    pairs = pairs.where("lead < no").distinct()
+    lead = lines.select(F.col("no").alias("lead"), F.col("line").alias("lead_line"))
     return (
-        pairs.join(texts, ["h1", "h2"]).join(lead, ["g1", "g2"])
+        pairs.join(lines, "no").join(lead, "lead")
         .where(F.levenshtein("line", "lead_line", 1) == 1)
         .select("h1", "h2").distinct()
     )
 
 
+def _variants(pieces: DataFrame) -> DataFrame:
+    """Hashed variants of each piece within its frame: i = 0 is the piece, other i lack character i."""
+    size = F.length("piece")
+    rows = pieces.withColumn("i", F.explode(F.sequence(F.lit(0), size)))
+    cut = F.concat(F.left("piece", F.col("i") - 1), F.substring(F.col("piece"), F.col("i") + 1, size))
+    return rows.select(
+        "no", "i", F.xxhash64("frame", F.when(F.col("i") == 0, F.col("piece")).otherwise(cut)).alias("v"))
+
+
 def dropped_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = 20) -> DataFrame:
     """doc, tie and the positions of the lines to drop, for documents that have any.
 
