@@ -2,23 +2,28 @@
 
 Documents link when ``100 * |A n B| >= percent * |A u B|`` on their sets of distinct shingles.
 
-1. Equal sets are one class, by a 128-bit digest, however many copies there are.
-2. Similar documents are partitioned into groups. Two sets that link differ in at most a fixed
-   number d of shingles for their size. With the hash space cut into d + 1 segments they agree on
-   at least one whole segment, so documents that share no segment cannot link. Connected
-   components of sharing a segment are the groups; a group that is large is cut into blocks.
-3. For every pair of blocks of a group, the block's token union is built, each query document's
-   overlap with the union bounds its overlap with every member, and only where the bound reaches
-   the required overlap are the members opened and counted exactly.
-4. Components of the links give the answer.
-
-Neither step loses a link. Segments hold about nine shingles, so a passage or line that many
-documents share does not put them in one group. Blocks have at most ``BLOCK_ROWS`` documents and,
-but for a single longer one, ``BLOCK_TOKENS`` shingles; a task sees two blocks at a time, and what
-leaves it is one row per linked document, never its pairs. Within a group of many *different* near
-copies the work is quadratic in its number of blocks. Segments shrink with the similarity: at 80 %
-they hold three or four shingles, documents with a passage in common share some by chance, and groups
-grow; see the README for what this costs.
+1. Equal sets are one class, named by 64 bits of a digest, however many copies there are.
+2. Every shingle's document frequency is counted over all classes. Shingles move packed: a task sorts
+   those of many documents into ranges of the hash space and sends one row per range. Only shingles
+   of two classes or more come back, also packed. A set of n shingles needs ``ceil(percent * n / 100)``
+   in common with a partner, so a class with fewer shared shingles has none and is done. That is the
+   fate of most documents, and no other plan is taken when it is not.
+3. The rest is partitioned into groups of similar documents: neighbours in the order of their least
+   shingle hashes, at most ``GROUP_ROWS`` in a group, long documents alone.
+4. Shingles are ordered by document frequency, rarest first. Two linked sets share a shingle of their
+   prefixes, that is, all but the ``ceil(percent * n / 100) - 1`` last ones of each. The matrix holds a
+   row per shingle and group with the shingle in a member's prefix: the group's token union cut to
+   what a bound can need. Probing it with a document's prefix gives the groups that the document has
+   to open, among its own and later ones; other groups never see its set.
+5. Where a group is opened, each query's overlap with the union of all its members' tokens bounds its
+   overlap with every one of them, and only queries that reach the required overlap are counted
+   against members. A group with many queries is opened in several cells of ``CELL_QUERIES``.
+6. Components of the links give the answer.
+
+No link is lost, and nothing is capped. What leaves a cell is one row per linked class, never its pairs.
+Within thousands of *different* near copies every pair is a link that is counted, so that part is
+quadratic; its documents move once per cell. Passages that many documents share sort last and reach no
+prefix unless they make up most of a document.
 
 Nulls and texts without words have empty sets: they link with nothing and are their own
 components. A null doc_id takes part in links, but does not name a component unless nothing else
@@ -28,10 +33,7 @@ does. Rows with equal texts, repeated rows included, share a class. Only doc_id
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
-from functools import cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -41,141 +43,177 @@ from pyspark.sql import functions as F
 
 from callscape.llm.common import stored
 from callscape.llm.components import connected_components
-from callscape.llm.shingles import mix, shingle_sets
+from callscape.llm.shingles import shingle_sets
+from callscape.scale import lookup_join, with_row_number
 
 PERCENT = 90
-BLOCK_ROWS = 128
-BLOCK_TOKENS = 1 << 16
-STEP = 1.25  # ratio of the size classes
-SPARE = 2  # segments beyond those that differences can reach, at least
-MAX_SUBSETS = 600
-BROADCAST_IDS = 500_000
-BROADCAST_SIGNATURES = 200_000  # 3 MB; more of them join by shuffle
-
-
-def _class_starts() -> np.ndarray:
-    starts, at = [], 1.0
-    while at < 1 << 40:
-        starts.append(int(np.ceil(at)))
-        at = max(at * STEP, at + 1)
-    return np.array(starts)
-
-
-CLASS_STARTS = _class_starts()
-
-
-def max_difference(size: int, percent: int) -> int:
-    """Most shingles in which a set of ``size`` and a linked one at least as large can differ.
-
-    With overlap i and sizes m <= n the difference is m + n - 2i, where i >= t (m + n) / (1 + t)
-    and n <= m / t for t = percent / 100; at n = m / t it is m (1 - t) / t.
-    """
-    return size * (100 - percent) // percent
-
-
-@cache
-def segment_shape(c: int, percent: int) -> tuple[int, int, bool]:
-    """Of size class ``c``: the number of segments (0: only equal sets link), how many of them are
-    spare, and whether subsets of empty segments, rather than one mark for all sets with more empty
-    segments than spare ones, stand in. Subsets serve while they are few; beyond, so many segments
-    are spare that such sets hardly occur."""
-    low = int(CLASS_STARTS[c])
-    differ = max_difference(int(CLASS_STARTS[c + 1]) - 1, percent)
-    if not differ:
-        return 0, 0, False
-    empty = lambda parts: parts * math.exp(-low / parts)
-    most = lambda x: x + 4 * math.sqrt(x) + 1
-    spare = SPARE
-    if math.comb(int(most(empty(differ + 1 + spare))), spare + 1) <= MAX_SUBSETS:
-        return differ + 1 + spare, spare, True
-    while spare < 4 * differ:
-        x = empty(differ + 1 + spare)
-        if spare >= x + 4.5 * math.sqrt(x):
-            break
-        spare += max(1, spare // 8)
-    return differ + 1 + spare, spare, False
-
-
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the segments of a set, for its own size class and those of smaller partners."""
-    n = len(s)
-    least = -(-n * percent // 100)
-    low, high = np.searchsorted(CLASS_STARTS, [least, n], side="right") - 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
-    out = [np.zeros(0, np.uint64)]
-    for c in range(low, high + 1):
-        parts, spare, subsets = segment_shape(c, percent)
-        if not parts:
-            continue
-        cut = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
-        at = np.concatenate([[0], np.searchsorted(s, cut), [n]])
-        tag = mix(np.arange(parts, dtype=np.uint64) + np.uint64((int(c) + 1) << 40))
-        filled = at[1:] > at[:-1]
-        out.append(mix(mix(sums[at[1:]] - sums[at[:-1]]) + tag)[filled])
-        empty = np.flatnonzero(~filled)
-        if len(empty) > spare and subsets:
-            sets = np.array(list(combinations(empty, spare + 1)))
-            out.append(mix(tag[sets].sum(axis=1, dtype=np.uint64) + np.uint64(1)))
-        elif len(empty) > spare:
-            out.append(mix(tag[:1] + np.uint64(2)))
-    return np.unique(np.concatenate(out)).view(np.int64)
+BUCKET_TOKENS = 4_000_000  # shingles of a range of the hash space, on average
+BATCH_TOKENS = 2_000_000  # shingles that a task sorts at a time
+BATCH_DOCS = 60_000
+GROUP_ROWS = 128
+GROUP_TOKENS = 1 << 14  # a longer set is a group of its own
+CELL_QUERIES = 1024
+_TOKEN = 6  # bytes of a shingle hash that move; its range gives the others
+
+
+def required(n, percent: int):
+    """Shingles that a set of ``n`` must share with any partner."""
+    return -(-n * percent // 100)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def _set_rows(percent: int, width: int):
+def _named_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    for s in shingle_sets(_bytes(column), width):
+        digest = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
+        yield int.from_bytes(digest, "little", signed=True), s
+
+
+def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, sizes, digests, keys, sigs = part.column(0), [], [], [], []
-                for s in shingle_sets(_bytes(part.column(1)), width):
-                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                keys, sizes = [], []
+                for key, s in _named_sets(part.column("text"), width):
+                    keys.append(key)
                     sizes.append(len(s))
-                    digests.append(d)
-                    keys.append(int.from_bytes(d[:8], "little", signed=True))
-                    sigs.append(signatures(s, percent) if len(s) else np.zeros(0, np.int64))
-                ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, part.column(2), pa.array(sizes, pa.int64()),
-                     pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), lists],
-                    ["doc_id", "place", "n", "digest", "k", "sigs"])
+                    [part.column("doc_id"), part.column("place"), pa.array(sizes, pa.int64()),
+                     pa.array(keys, pa.int64())], ["doc_id", "place", "n", "k"])
     return run
 
 
-def _block_rows(width: int):
+# Packed tokens: a row holds the shingles of several classes in one range. ``ks`` and ``ns`` have the
+# classes' names and set sizes, ``counts`` how many of the row's tokens each of them has, in order.
+
+_PACKED = "bucket int, ks binary, ns binary, counts binary, tokens binary"
+
+
+def _packed_tokens(width: int, buckets: int):
+    def pack(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = np.concatenate(sets)
+        size = np.array([len(s) for s in sets])
+        doc = np.repeat(np.arange(len(sets)), size)
+        bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        tokens, doc, bucket = tokens[order], doc[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows: dict[str, list] = {c: [] for c in ("bucket", "ks", "ns", "counts", "tokens")}
+        names = np.array(keys, np.int64)
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+            first = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
+            mine = doc[a:b][first]
+            rows["bucket"].append(int(bucket[a]))
+            rows["ks"].append(names[mine].tobytes())
+            rows["ns"].append(size[mine].astype("<u4").tobytes())
+            rows["counts"].append(np.diff(first, append=b - a).astype("<u4").tobytes())
+            rows["tokens"].append(tokens[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_TOKEN].tobytes())
+        return pa.RecordBatch.from_pydict(rows, pa.schema(
+            [("bucket", pa.int32()), *((c, pa.binary()) for c in ("ks", "ns", "counts", "tokens"))]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        total = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [s.tobytes() for s in shingle_sets(_bytes(part.column("text")), width)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("grp"), part.column("blocks"), part.column("digest"),
-                     pa.array(sets, pa.binary())], ["grp", "blocks", "digest", "tokens"])
+                for key, s in _named_sets(batch.column("text").slice(at, 256), width):
+                    if len(s) and key not in held:
+                        held[key] = s
+                        total += len(s)
+                if total >= BATCH_TOKENS or len(held) >= BATCH_DOCS:
+                    yield pack(list(held), list(held.values()))
+                    held, total = {}, 0
+        if held:
+            yield pack(list(held), list(held.values()))
+
+    return run
+
+
+def _unpacked(pdf: pd.DataFrame, token: str):
+    join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+    counts = join("counts", "<u4")
+    return np.repeat(join("ks", "<i8"), counts), np.repeat(join("ns", "<u4"), counts), join("tokens", token)
+
+
+def _shared_tokens(parts: int):
+    """Of a range, the shingles of two classes or more with their frequency, packed by class."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, n, raw = _unpacked(pdf, np.dtype((np.uint8, _TOKEN)))
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :_TOKEN] = raw
+        token = wide.view("<u8").ravel()
+        for again in (False, True):  # then once more without the repeats of equal sets
+            if again:
+                order = np.lexsort((key, token))
+                token, key, n = token[order], key[order], n[order]
+                new = np.ones(len(token), bool)
+                new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+                token, key, n = token[new], key[new], n[new]
+            else:
+                order = np.argsort(token)
+                token, key, n = token[order], key[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+            df = np.repeat(np.diff(first, append=len(token)), np.diff(first, append=len(token)))
+            token, key, n, df = token[df > 1], key[df > 1], n[df > 1], df[df > 1]
+        token = token + (np.uint64(pdf["bucket"].iat[0]) << np.uint64(8 * _TOKEN))
+        part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((key, part))
+        token, key, n, df, part = token[order], key[order], n[order], df[order], part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        out = []
+        for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            mine = np.flatnonzero(np.concatenate([[True], key[a + 1 : b] != key[a : b - 1]]))
+            out.append((int(part[a]), key[a:b][mine].tobytes(), n[a:b][mine].astype("<u4").tobytes(),
+                        np.diff(mine, append=b - a).astype("<u4").tobytes(),
+                        token[a:b].tobytes(), df[a:b].astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["part", "ks", "ns", "counts", "tokens", "dfs"])
+
+    return run
+
+
+def _candidates(percent: int):
+    """Of a part of the classes, those with enough shared shingles: the shared shingles, sorted, and
+    those of the prefix."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, n, token = _unpacked(pdf, "<u8")
+        df = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["dfs"]])
+        order = np.lexsort((token, df, key))
+        key, n, token = key[order], n[order].astype(np.int64), token[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(first, append=len(key))
+        least = required(n[first], percent)
+        out = []
+        for at in np.flatnonzero(size >= least).tolist():
+            mine = token[first[at] : first[at] + size[at]]
+            whole = np.sort(mine)
+            out.append((int(key[first[at]]), int(n[first[at]]), whole.tobytes(),
+                        mine[: size[at] - least[at] + 1].view(np.int64),
+                        int(whole[:1].view(np.int64)[0]), int(whole[1:2].view(np.int64).sum())))
+        return pd.DataFrame(out, columns=["k", "n", "tokens", "prefix", "h1", "h2"])
+
     return run
 
 
 def _links(percent: int):
-    """Links between the documents of one or two blocks of a group."""
+    """Links between a cell's queries and the members of its group, and within the group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("digest").sort_values("digest", ignore_index=True)
+        pdf = pdf.sort_values("k", ignore_index=True)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
-        size = np.array([len(s) for s in sets])
-        side = pdf["block"].to_numpy()
-        first, last = pdf["low"].iat[0], pdf["high"].iat[0]
-        queries = np.flatnonzero(side == first)
-        members = np.flatnonzero(side == last)
-        if not len(queries) or not len(members):  # a block without documents
-            return pd.DataFrame({"digest": [], "root": [], "links": []})
+        shared = np.array([len(s) for s in sets])
+        size = pdf["n"].to_numpy()
+        asks, belongs = pdf["query"].to_numpy(), pdf["member"].to_numpy()
+        members = np.flatnonzero(belongs)
         root, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
         union, place = np.unique(np.concatenate([sets[m] for m in members]), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(size[members])[:-1]])
+        starts = np.concatenate([[0], np.cumsum(shared[members])[:-1]])
         mark = np.zeros(len(union), bool)
-        for q in queries:
+        for q in np.flatnonzero(asks).tolist():
             at = np.searchsorted(union, sets[q])
             at[at == len(union)] = 0
             at = at[union[at] == sets[q]]
@@ -184,96 +222,109 @@ def _links(percent: int):
             mark[at] = True
             common = np.add.reduceat(mark[place], starts, dtype=np.int64)
             mark[at] = False
-            fits = 100 * common >= percent * (size[q] + size[members] - common)
-            for m in members[fits]:
-                if m == q or (first == last and m < q):
-                    continue
-                links[q] += 1
-                links[m] += 1
-                a, b = sorted((root[q], root[m]))
-                if a != b:
-                    root[root == b] = a
+            found = members[100 * common >= percent * (size[q] + size[members] - common)]
+            found = found[found > q] if belongs[q] else found
+            if not len(found):
+                continue
+            links[q] += len(found)
+            links[found] += 1
+            roots = np.unique(root[np.append(found, q)])
+            root[np.isin(root, roots)] = roots[0]
         found = np.flatnonzero(links)
-        name = pdf["digest"].to_numpy()
-        return pd.DataFrame({"digest": name[found], "root": name[root[found]],
-                             "links": links[found]})
+        name = pdf["k"].to_numpy()
+        return pd.DataFrame({"k": name[found], "root": name[root[found]], "links": links[found]})
 
     return run
 
 
-def _grouped(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
-    """(digest, root, links) of classes that have a link, from each pair of blocks."""
-    used = sets.select("k", F.explode("sigs").alias("sig"))
-    shared = stored(
-        used.groupBy("sig").agg(F.min("k").alias("lead"), F.max("k").alias("other"))
-        .where("lead <> other").select("sig", "lead"), "shared")
-    few = shared.count() <= BROADCAST_SIGNATURES
-    stars = stored(used.join(F.broadcast(shared) if few else shared, "sig").select(
-        F.col("k").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
-    group = connected_components(stars)
-    group = group.unionByName(group.select(F.col("root").alias("v"), "root").distinct())
-    kinds = sets.groupBy("digest").agg(F.first("k").alias("k"), F.first("n").alias("n"))
-    members = stored(kinds.join(group, kinds["k"] == group["v"]).select(
-        "digest", "n", F.col("root").alias("grp")), "members")
-    shape = members.groupBy("grp").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
-    blocks = F.greatest(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.ceil(F.col("rows") / BLOCK_ROWS))
-    shape = stored(shape.where("rows > 1").select("grp", blocks.cast("int").alias("blocks")),
-                   "shape")
-    members = members.join(shape, "grp").select("digest", "grp", "blocks")
-    # one document of each class is read again for its text
-    named = sets.groupBy("digest").agg(F.min("place").alias("place"))
-    wanted = stored(members.join(named, "digest"), "wanted")
-    small = wanted.count() <= BROADCAST_IDS
-    rows = docs.select("place", "text").join(
-        F.broadcast(wanted) if small else wanted, "place"
-    ).select("grp", "blocks", "digest", "text")
-    tokens = rows.mapInArrow(
-        _block_rows(width), "grp long, blocks int, digest binary, tokens binary")
-    mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    cells = tokens.withColumn("block", mine).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select(
-        "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "digest", "tokens")
-    return cells.groupBy("grp", "low", "high").applyInPandas(
-        _links(percent), "digest binary, root binary, links long")
-
-
-def similar_documents(docs: DataFrame, percent: int = PERCENT, width: int = 3) -> DataFrame:
+def _linked(rows: DataFrame, tokens: int, percent: int, width: int, bucket_tokens: int,
+            group_rows: int, cell_queries: int) -> DataFrame:
+    """(k, root, links) of classes that have a link, from each cell. ``tokens`` is the number of all
+    shingles."""
+    buckets = -(-tokens // bucket_tokens) or 1
+    packed = rows.select("text").mapInArrow(_packed_tokens(width, buckets), _PACKED)
+    shared = packed.groupBy("bucket").applyInPandas(
+        _shared_tokens(buckets), "part int, ks binary, ns binary, counts binary, tokens binary, dfs binary")
+    able = shared.groupBy("part").applyInPandas(
+        _candidates(percent), "k long, n long, tokens binary, prefix array<long>, h1 long, h2 long")
+    able = stored(able, "able")
+    long = F.col("n") > GROUP_TOKENS
+    members = with_row_number(able.select("k", "n", "h1", "h2"), ["h1", "h2", "k"], "no").select(
+        "k", F.when(long, -1 - F.col("no")).otherwise(F.expr(f"no div {group_rows}")).alias("grp"))
+    members = stored(members, "members")
+    prefixes = stored(able.select("k", F.explode("prefix").alias("token")).join(members, "k"), "prefixes")
+    matrix = prefixes.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b")
+    live = stored(prefixes.join(matrix.select("token"), "token"), "live")
+    probes = live.withColumnRenamed("grp", "own").join(
+        live.select("token", "grp").distinct(), "token").where("own <= grp")
+    probes = stored(probes.select("k", "grp", (F.col("own") == F.col("grp")).alias("member")).distinct(),
+                    "probes")
+    askers = probes.where(~F.col("member")).groupBy("grp").agg(F.count("*").alias("asked"))
+    cells = stored(
+        members.select("grp").distinct().join(askers, "grp", "left").select(
+            "grp", F.greatest(F.ceil(F.coalesce("asked", F.lit(0)) / cell_queries), F.lit(1)).cast("int")
+            .alias("cells")), "cells")
+    opened = probes.select("grp").distinct()
+    guests = probes.where(~F.col("member")).join(cells, "grp").select(
+        "k", "grp", F.pmod(F.xxhash64("k"), F.col("cells")).cast("int").alias("cell"),
+        F.lit(True).alias("query"), F.lit(False).alias("member"))
+    hosts = members.join(opened, "grp").join(cells, "grp").select(
+        "k", "grp", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).select(
+        "k", "grp", "cell", (F.col("cell") == 0).alias("query"), F.lit(True).alias("member"))
+    seats = stored(guests.unionByName(hosts), "seats")
+    return seats.join(able.select("k", "n", "tokens"), "k").groupBy("grp", "cell").applyInPandas(
+        _links(percent), "k long, root long, links long")
+
+
+def _classes(docs: DataFrame, percent: int, width: int, bucket_tokens: int = BUCKET_TOKENS,
+             group_rows: int = GROUP_ROWS, cell_queries: int = CELL_QUERIES) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, place (a hash of id and text), set size n and class k; and the root and
+    number of links of the classes that have links."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).select(
+        "doc_id", "text", F.xxhash64("doc_id", "text").alias("place"))
+    sets = stored(rows.mapInArrow(_set_rows(width), "doc_id long, place long, n long, k long"), "sets")
+    tokens = sets.agg(F.sum("n")).first()[0] or 0
+    found = stored(_linked(rows, tokens, percent, width, bucket_tokens, group_rows, cell_queries), "links")
+    parts = connected_components(found.select(F.col("k").alias("a"), F.col("root").alias("b")))
+    degree = found.groupBy("k").agg(F.sum("links").alias("n_links"))
+    linked = stored(degree.join(parts, degree["k"] == parts["v"], "left").select(
+        "k", F.coalesce("root", "k").alias("root"), "n_links"), "linked")
+    return sets, linked
+
+
+def similar_documents(docs: DataFrame, percent: int = PERCENT, width: int = 3, **sizes) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) and n_links (the
     number of different shingle sets that the document links to)."""
-    # a row is found again by the hash of its id and text
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(
-        "doc_id", "text", F.xxhash64("doc_id", "text").alias("place"))
-    sets = stored(
-        rows.mapInArrow(_set_rows(percent, width), "doc_id long, place long, n long, "
-                        "digest binary, k long, sigs array<long>"), "sets")
-    some = sets.where("n > 0")
-    found = stored(_grouped(rows, some, percent, width), "links")
-    parts = connected_components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
-    degree = found.groupBy("digest").agg(F.sum("links").alias("n_links"))
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(parts, classes["digest"] == parts["v"], "left").select(
-        "digest", "least", F.coalesce("root", "digest").alias("root"))
+    sets, linked = _classes(docs, percent, width, **sizes)
+    classes = sets.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("least"))
+    rooted = classes.join(linked, "k", "left").select(
+        "k", "least", F.coalesce("root", "k").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rooted = stored(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(
-        rooted.join(least, "root").join(degree, "digest", "left")
-        .select("digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    return sets.select("doc_id", "n", "digest").join(named, "digest", "left").select(
+    named = stored(rooted.join(least, "root").select("k", "component_id", "n_links"), "named")
+    full = F.col("n") > 0
+    return sets.join(named, "k", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        .alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it, with all rows
-    that repeat this id. Texts without words and rows without an id stay."""
-    kept = similar_documents(docs, percent, width).where(
-        (F.col("n_shingles") > 0) & (F.col("doc_id") == F.col("component_id")))
-    keep = stored(kept.select("doc_id").distinct(), "keep")
-    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id",
-                       (wordless | F.col("doc_id").isNull()).alias("stays"))
-    first = rows.where(~F.col("stays")).join(keep, "doc_id", "left_semi")
-    return first.select("_doc.*").unionByName(rows.where("stays").select("_doc.*"))
+        F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(full, F.col("n_links")).otherwise(0).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = 3, **sizes) -> DataFrame:
+    """``docs`` with one row of each component: that of least doc_id, rows without an id after all
+    others, then by a hash of id and text. Of rows that repeat both, one stays. Texts without words
+    stay."""
+    sets, linked = _classes(docs, percent, width, **sizes)
+    spots = sets.where("n > 0").groupBy("place", "doc_id", "k").agg(F.count("*").alias("rows"))
+    spots = stored(spots.join(linked.select("k", "root"), "k", "left").select(
+        "place", "doc_id", "rows", F.coalesce("root", "k").alias("root")), "spots")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
+    kept = spots.groupBy("root").agg(F.min(rank).alias("kept"))
+    # only places to drop and places of repeated rows are looked up
+    marks = stored(spots.join(kept, "root").select(
+        "place", "rows", (F.col("kept.place") != F.col("place")).alias("gone"))
+        .where("gone or rows > 1").select("place", "gone"), "marks")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(
+        F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("place"))
+    rows = lookup_join(rows, marks, "place", "left")
+    once = rows.where("not gone").groupBy("place").agg(F.first("_doc").alias("_doc"))
+    return rows.where("gone is null").select("_doc.*").unionByName(once.select("_doc.*"))
