@@ -37,7 +37,7 @@ common AS (
   SELECT h.source, h.line
   FROM (SELECT source, line, count(DISTINCT t) AS n FROM lines_ GROUP BY source, line) h
   JOIN hosts ON h.source IS NOT DISTINCT FROM hosts.source
-  WHERE h.n >= 20 AND h.n >= 0.1 * hosts.n_docs),
+  WHERE h.n >= 20 OR (h.n >= 3 AND h.n >= 0.1 * hosts.n_docs)),
 gone AS (
   SELECT a.source, a.t, sum(len(regexp_extract_all(a.x, '{WORD}'))) AS removed,
     list(DISTINCT a.line) AS removed_lines
@@ -90,13 +90,8 @@ hits AS (
 base AS (
   SELECT h.r, h.i, p.label FROM hits h JOIN docs d USING (r) JOIN phrases p
     ON h.word = p.f[1] AND d.w[h.i + 1 : h.i + len(p.f)] = p.f),
-seen AS (SELECT DISTINCT r, word FROM hits),
-freq AS (SELECT word, count(*) AS df FROM seen GROUP BY word),
-top AS (SELECT r, word FROM seen JOIN freq USING (word)
-        QUALIFY row_number() OVER (PARTITION BY r ORDER BY df, word) <= 8),
-placed AS (
-  SELECT h.r, p.k, h.i - p.q AS at FROM hits h JOIN top USING (r, word) JOIN postings p USING (word)
-  GROUP BY ALL HAVING count(*) >= 2),
+anchors AS (SELECT k, min(q) AS q, arg_min(f, q) AS f FROM keys GROUP BY k),
+placed AS (SELECT DISTINCT h.r, a.k, h.i - a.q AS at FROM hits h JOIN anchors a ON h.word = a.f[1]),
 good AS (
   SELECT p.* FROM placed p JOIN docs d USING (r) JOIN keys y USING (k)
   GROUP BY ALL
