@@ -4,7 +4,14 @@ import numpy as np
 from llm.conftest import CLASH, sentence
 from pyspark.sql import functions as F
 
-from callscape.llm.decontaminate import contamination_report, decontaminated, edit_distances, words_of
+from callscape.llm.decontaminate import (
+    ItemIndex,
+    contamination_report,
+    decontaminated,
+    edit_distances,
+    recall_report,
+    words_of,
+)
 
 
 def distance(a, b):
@@ -99,3 +106,42 @@ def test_long_items_are_verified_whole_and_items_without_an_id_are_searched(spar
     assert len(got) >= len(want) - 1 and {i for _, i in got} == {None, 0, 1, 2, 3, 4}
     kept = {r["doc_id"] for r in decontaminated(docs, bench).collect()}
     assert kept == {i for i, _ in rows} - {i for i, _ in got}
+
+
+def test_recall_of_every_length_in_a_mixed_block():
+    rng = random.Random(31)
+    lengths = [20] * 600 + [100] * 25 + [500] * 25 + [2000] * 4
+    items = [(k, sentence(rng, n), 0) for k, n in enumerate(lengths)]
+    for max_edits in (0.1, 0.2, 0.3):
+        index = ItemIndex(items, max_edits, 0.99)
+        assert all(r[4] >= 0.99 for r in index.report)
+        assert sum(r[2] for r in index.report) == 650 + 4 * 4
+        docs, home = [], []
+        for k in range(560, len(lengths)):
+            inner = edited(rng, items[k][1].split(), int(max_edits * lengths[k] + 1e-9))
+            docs.append(words_of(" ".join([sentence(rng, 30), *inner, sentence(rng, 30)])))
+            home.append(k)
+        ends = np.cumsum([len(d) for d in docs])
+        first = np.repeat(ends - [len(d) for d in docs], [len(d) for d in docs])
+        last = np.repeat(ends, [len(d) for d in docs])
+        place, item, edits = index.matches(np.concatenate(docs), first, last)
+        found = {(home[d], i) for d, i in zip(np.searchsorted(ends, place, "right"), item, strict=True)}
+        assert (edits <= np.floor(np.array(lengths)[item] * max_edits + 1e-9)).all()
+        for n in set(lengths):
+            mine = [k for k in home if lengths[k] == n]
+            assert sum((k, k) in found for k in mine) >= 0.92 * len(mine)
+
+
+def test_repeated_words_and_classes_without_samples(spark):
+    items = [(1, "a " * 40, 0), (2, "a " * 400, 0), (3, "b a " * 8, 0)]
+    doc = words_of("a " * 60_000)
+    place, item, edits = ItemIndex(items, 0.2, 0.99).matches(
+        doc, np.zeros(len(doc), int), np.full(len(doc), len(doc)))
+    assert sorted(zip(item, place, edits, strict=True)) == [(0, 0, 0), (1, 0, 0)]
+    sure = ItemIndex([(1, sentence(random.Random(1), 40), 0)], 0.2, 1.01)
+    assert sure.exact.all() and sure.report == [(40, 40, 1, 0, 1.0)]
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, None)],
+                                  "item_id long, text string")
+    report = recall_report(bench, recall=0.9).collect()
+    assert [r["n_items"] for r in report] == [1] and report[0]["recall"] >= 0.9
+    assert recall_report(bench.limit(0)).isEmpty()
