@@ -49,7 +49,7 @@ PLACES = 2  # places in a sample
 MAX_SAMPLES = 192
 TRIALS = 300  # edited copies per class of lengths
 PIECE_WORDS = 5  # most words of a piece that are hashed
-PAIRS = 1 << 17  # windows met at a time
+PAIRS = 1 << 19  # windows met at a time
 CELLS = 1 << 21  # places of windows verified at a time
 _APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _PAD = np.uint64(0x5DEECE66D)
