@@ -142,23 +142,35 @@ def _shared_tokens(parts: int):
     """Of a range, the shingles of two classes or more with their frequency, packed by class."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, n, raw = _unpacked(pdf, np.dtype((np.uint8, _TOKEN)))
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :_TOKEN] = raw
-        token = wide.view("<u8").ravel()
-        for again in (False, True):  # then once more without the repeats of equal sets
-            if again:
-                order = np.lexsort((key, token))
-                token, key, n = token[order], key[order], n[order]
-                new = np.ones(len(token), bool)
-                new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-                token, key, n = token[new], key[new], n[new]
-            else:
-                order = np.argsort(token)
-                token, key, n = token[order], key[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
-            df = np.repeat(np.diff(first, append=len(token)), np.diff(first, append=len(token)))
-            token, key, n, df = token[df > 1], key[df > 1], n[df > 1], df[df > 1]
+        join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+        names, sizes, counts = join("ks", "<i8"), join("ns", "<u4"), join("counts", "<u4")
+        doc = np.repeat(np.arange(len(names), dtype=np.uint32), counts)
+        token, at = np.zeros(len(doc), "<u8"), 0
+        places = token.view(np.uint8).reshape(-1, 8)
+        for x in pdf["tokens"]:
+            some = np.frombuffer(x, np.uint8).reshape(-1, _TOKEN)
+            places[at : at + len(some), :_TOKEN] = some
+            at += len(some)
+        # most shingles occur once: only the others take their names and sizes along
+        order = np.argsort(token)
+        token = token[order]
+        same = token[1:] == token[:-1]
+        twice = np.zeros(len(token), bool)
+        twice[1:] = same
+        twice[:-1] |= same
+        token, doc = token[twice], doc[order[twice]]
+        del order, places, same, twice
+        key = names[doc]  # then once more without the repeats of equal sets
+        order = np.lexsort((key, token))
+        token, key, doc = token[order], key[order], doc[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+        token, key, doc = token[new], key[new], doc[new]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+        times = np.diff(first, append=len(token))
+        df = np.repeat(times.astype(np.uint32), times)
+        token, key, n, df = token[df > 1], key[df > 1], sizes[doc[df > 1]], df[df > 1]
+        del order, doc, new
         token = token + (np.uint64(pdf["bucket"].iat[0]) << np.uint64(8 * _TOKEN))
         part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((key, part))
