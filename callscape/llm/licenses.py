@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from callscape.llm.common import once
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The phrases of the base labels.
@@ -76,7 +77,8 @@ VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()}
 
 
 def _words() -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORDS), F.lit(0))
+    low = F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower())
+    return F.regexp_extract_all(low, F.lit(WORDS), F.lit(0))
 
 
 def _strings(words: list[str] | tuple[str, ...]) -> Column:

@@ -54,7 +54,8 @@ def test_license_scan_matches_brute_force(spark, edge_docs, no_docs):
     texts = ["Released under the MIT License.", "the mit\nlicense? MIT-License", "Apache License",
              "x " * 5 + "Licensed under CC BY-NC 4.0. tail", "CC BY NC", "by nc 4 0 licensed cc",
              "Licensed, under the Apache License (Version 2.0) and GNU General Public License 3",
-             "general public", "license general public license", "MIT licenseé", *[
+             "general public", "license general public license", "MIT licenseé",
+             "This wor\u212a is licensed under the GNU General Public License version 3", *[
                  t for _, t, _ in TEMPLATES], *[t.replace("the", "a") for _, t, _ in TEMPLATES]]
     rows = [(900 + k, t) for k, t in enumerate(texts)]
     rows += [tuple(r) for r in edge_docs.select("doc_id", "text").collect()]
