@@ -31,13 +31,14 @@ from callscape.scale import with_row_number
 
 CAPACITY = 2048
 END_ID = 1
+CACHE_WORDS = 400_000  # of a Python worker
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACES = "length long, low long, high long, each long, first_sequence long, first_offset long"
 
 
 def _cut(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, lists in encoded(batches, path, end):
+        for rows, lists in encoded(batches, path, end, CACHE_WORDS):
             owner, start, length, crc, total = [], [], [], [], []
             for k, ids in enumerate(lists):
                 data = ids.astype("<u4").tobytes()

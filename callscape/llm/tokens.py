@@ -55,6 +55,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.marks: dict[bytes, list[int]] = {}
+        self.most = CACHE_WORDS
         self._reset({b"": 0}, np.ones(1, np.int64), np.zeros(1, np.uint32))
 
     def _reset(self, numbers: dict, sizes: np.ndarray, flat: np.ndarray) -> None:
@@ -103,8 +104,8 @@ class WordEncoder:
         """Keep the words that were used again, and start counting anew."""
         self.uses[0] = 1 << 40
         keep = np.flatnonzero(self.uses > 1)
-        if len(keep) > CACHE_WORDS // 2:
-            keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE_WORDS // 2])
+        if len(keep) > self.most // 2:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.most // 2])
         words = list(self.numbers)
         flat = _gather(self.flat, self.starts[keep], self.sizes[keep])
         self._reset({words[k]: n for n, k in enumerate(keep)}, self.sizes[keep], flat)
@@ -112,7 +113,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end``, and the number of each text's ids."""
-        if len(self.numbers) > CACHE_WORDS:
+        if len(self.numbers) > self.most:
             self._forget()
         self.flat[0] = end
         known = len(self.numbers)
@@ -147,17 +148,20 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int = CACHE_WORDS
             ) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the batches, each with the ids of its rows' ``text`` (null: empty)."""
+    """Slices of the batches, each with the ids of its rows' ``text`` (null: empty). The worker
+    remembers about ``most`` words, some 0.3 KB each; ids do not depend on it."""
     words = encoder(path)
+    words.most = most
     for batch in batches:
-        texts = [x or b"" for x in batch["text"].cast(pa.large_binary()).to_pylist()]
-        first, size = 0, 0
-        for row, text in enumerate(texts):
-            size += len(text)
-            if size >= CHUNK or row == len(texts) - 1:
-                ids, counts = words.encode(texts[first : row + 1], end)
-                yield (batch.slice(first, row + 1 - first),
-                       np.split(ids, np.cumsum(counts)[:-1]))
-                first, size = row + 1, 0
+        column = batch["text"].cast(pa.large_binary())
+        texts, size = [], 0  # only those of one slice leave the batch
+        for row, text in enumerate(column):
+            texts.append(text.as_py() or b"")
+            size += len(texts[-1])
+            if size >= CHUNK or row == len(column) - 1:
+                ids, counts = words.encode(texts, end)
+                first = row + 1 - len(texts)
+                yield batch.slice(first, len(texts)), np.split(ids, np.cumsum(counts)[:-1])
+                texts, size = [], 0
