@@ -105,9 +105,13 @@ def classification(spark, args):
     tables.write_annotations(classify.annotate_global(classified), args.annotations, args.tag)
 
 
+def _calls_in_period(spark, args):
+    return in_period(_calls(spark, args), args.start, args.end)
+
+
 def _labelled(spark, args):
     return (
-        _calls(spark, args),
+        _calls_in_period(spark, args),
         read_cells(spark, args.cells, key="prefix"),
         read_annotations(spark, args.annotations, args.annotation_format),
     )
@@ -127,7 +131,7 @@ def od_series(spark, args):
 
 def activity(spark, args):
     cells = read_cells(spark, args.cells, key=args.key)
-    hourly = presence.hourly_activity(_calls(spark, args), cells, args.grain, key=args.key,
+    hourly = presence.hourly_activity(_calls_in_period(spark, args), cells, args.grain, key=args.key,
                                       strict_site=args.strict_site)
     text.write_timeseries(hourly, args.out, text.HOURLY_COLUMNS, sep=",")
 
@@ -139,7 +143,7 @@ def _has_clock(date_format: str) -> bool:
 
 
 def peaks(spark, args):
-    calls = in_period(_calls(spark, args), args.start, args.end)
+    calls = _calls_in_period(spark, args)
     found = detect_peaks(
         with_peak_calendar(calls, clock_in_date=_has_clock(args.date_format)),
         read_cell_list(spark, args.cells) if args.cells else None,
@@ -168,6 +172,11 @@ def api_records(spark, args):
     publish.as_json(records).write.mode("overwrite").text(args.out)
 
 
+def _add_period(sub):
+    sub.add_argument("--start", help="first day")
+    sub.add_argument("--end", help="last day")
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="callscape")
     jobs = parser.add_subparsers(required=True)
@@ -210,16 +219,17 @@ def _parser() -> argparse.ArgumentParser:
         sub = job(run, "cdr", "cells", "annotations", cdr=True)
         sub.add_argument("--annotation-format", choices=["parquet", "legacy"], default="parquet")
         sub.add_argument("--grain", choices=["day", "hour"])
+        _add_period(sub)
     sub = job(activity, "cdr", "cells", cdr=True)
     sub.add_argument("--grain", choices=["day", "hour"])
+    _add_period(sub)
     sub.add_argument("--key", choices=["exact", "prefix"], default="exact")
     sub = job(peaks, "cdr", cdr=True)
     sub.add_argument("--base-days", type=int, nargs=2, default=[32, 58])
     sub.add_argument("--from-doy", type=int, default=59)
     sub.add_argument("--cells", help="file of the cells to study; default: all")
     sub.add_argument("--n-cells", type=int, help="study the first cells in order only")
-    sub.add_argument("--start", help="first day")
-    sub.add_argument("--end", help="last day")
+    _add_period(sub)
     sub.add_argument("--min-ratio", type=float, default=0.2)
     sub.add_argument("--min-diff", type=float, default=50)
     sub = job(observations, "kind", "series")

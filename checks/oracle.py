@@ -395,6 +395,12 @@ oracle("sociometer_trained", """
 oracle("presence_users", f"""
     SELECT DISTINCT user_id, region, CAST({DAY} AS TIMESTAMP) AS "date" FROM placed""")
 oracle("presence", "SELECT * FROM presence")
+oracle("presence_merged", "SELECT * FROM presence")
+oracle("presence_all_regions", f"""
+    SELECT CAST({DAY} AS TIMESTAMP) AS "date", coalesce(user_class, 'not classified') AS user_class,
+           count(DISTINCT user_id) AS n_users
+    FROM placed LEFT JOIN annotations USING (user_id, region)
+    GROUP BY ALL""")
 oracle("presence_full_time", "SELECT * FROM presence_full")
 oracle("presence_repeated_labels", _presence(f"CAST({DAY} AS TIMESTAMP)", "type_labels"))
 oracle("od_matrix", "SELECT * FROM od")

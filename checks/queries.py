@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from callscape.functions import calendar as cal
 from callscape.functions.vectors import euclidean, nonzero_count, vector_sum
 from callscape.operators import classify as C
+from callscape.operators import distinct_users as D
 from callscape.operators import cluster as K
 from callscape.operators import peaks as P
 from callscape.operators import presence as B
@@ -427,6 +428,23 @@ def presence(spark, sf):
     return _presence(spark, sf)
 
 
+def _presence_states(spark, sf, grain):
+    calls, cells = S.cdr(spark, sf), S.cells(spark, sf)
+    numbers = D.number_users(B.presence_users(calls, cells, "day"))
+    return cut_lineage(D.presence_states(calls, cells, _annotations(spark, sf), numbers, grain))
+
+
+@query
+def presence_merged(spark, sf):
+    return D.presence_from_states(_presence_states(spark, sf, "hour"), "day")
+
+
+@query
+def presence_all_regions(spark, sf):
+    states = D.merge_states(_presence_states(spark, sf, None), "hour")
+    return D.presence_from_states(states, "day", ("date", "user_class"))
+
+
 @query
 def presence_full_time(spark, sf):
     return _presence(spark, sf, grain=None)

@@ -1,6 +1,7 @@
 """The command-line jobs, chained through files."""
 
 import json
+import re
 
 from callscape.__main__ import main, study_weeks
 
@@ -72,3 +73,21 @@ def test_other_jobs(spark, tmp_path):
     found = spark.read.parquet(p("peaks"))
     assert {r[0] for r in found.select("rid").distinct().collect()} == {"00001_x", "00002_x"}
     assert found.agg({"doy": "max"}).first()[0] <= 25
+
+
+def test_series_in_a_period(spark, tmp_path):
+    p = lambda name: str(tmp_path / name)
+    with open(p("calls.csv"), "w") as f:
+        for user, cell, when, clock, *_ in random_calls(600):
+            f.write(f"{user};;;{when};{clock};0;;;;{cell};;V\n")
+    with open(p("cells.csv"), "w") as f:
+        f.writelines(f"{site}_x;{region}\n" for site, region in SITES)
+    spark.createDataFrame([("hot", "0", "resident")], "user_id string, region string, user_class string") \
+        .write.parquet(p("known"))
+    period = ["--grain", "day", "--start", "2015-01-05", "--end", "2015-01-06"]
+    main(["activity", p("calls.csv"), p("cells.csv"), *period, "--out", p("hourly")])
+    for job in ("presence-series", "od-series"):
+        main([job, p("calls.csv"), p("cells.csv"), p("known"), *period, "--out", p(job)])
+    for name in ("hourly", "presence-series", "od-series"):
+        days = {re.search(r"\d{4}-\d\d-\d\d", r[0])[0] for r in spark.read.text(p(name)).collect()}
+        assert days == {"2015-01-05", "2015-01-06"}
