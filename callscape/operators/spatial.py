@@ -25,6 +25,7 @@ def attach_region(
     n: int = SITE_LENGTH,
     strict_site: bool = False,
     max_broadcast_rows: int = BROADCAST_MAX_ROWS,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Keep the records whose start cell belongs to a region, and add ``region``.
 
@@ -36,4 +37,5 @@ def attach_region(
     cell = F.col("start_cell")
     looked_up = cdr.withColumn("cell_id", cell if key == "exact" else site(cell, n, strict_site))
     wanted = cells.select("cell_id", "region")
-    return lookup_join(looked_up, wanted, "cell_id", max_rows=max_broadcast_rows).drop("cell_id")
+    return lookup_join(looked_up, wanted, "cell_id", max_rows=max_broadcast_rows,
+                       prefilter=prefilter).drop("cell_id")

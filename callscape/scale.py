@@ -13,6 +13,8 @@ BROADCAST_MAX_ROWS = 1_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 JOIN_SALTS = 32
 SALTED_MAX_ROWS = 1_000_000_000
+FILTER_BITS_PER_KEY = 8
+FILTER_BLOCK = 32768  # bits of one bitmap of Spark's aggregate
 
 
 def measure(df: DataFrame) -> tuple[int, int]:
@@ -38,6 +40,30 @@ def salts_for(spark: SparkSession, dimension_rows: int) -> int:
     return max(JOIN_SALTS, min(wanted, SALTED_MAX_ROWS // max(dimension_rows, 1)))
 
 
+def matching_facts(facts: DataFrame, dimension: DataFrame, keys: list[str],
+                   dimension_rows: int) -> DataFrame:
+    """The facts whose key may be in the dimension: all that are, and few others.
+
+    Each key of the dimension sets one bit, by its hash. The bit sets are aggregated in blocks and
+    broadcast; their size follows from the rows of the dimension and is at most
+    ``BROADCAST_MAX_BYTES``, beyond which more facts pass. Facts do not move.
+    """
+    wanted = max(dimension_rows, 1) * FILTER_BITS_PER_KEY
+    blocks = min(-(-wanted // FILTER_BLOCK), BROADCAST_MAX_BYTES * 8 // FILTER_BLOCK)
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(blocks * FILTER_BLOCK))
+    block, place = F.floor(hashed / FILTER_BLOCK), hashed % FILTER_BLOCK
+    bits = dimension.select(block.alias("_block"), place.alias("_place")).groupBy("_block").agg(
+        F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    there = F.floor(byte.cast("int") / F.pow(F.lit(2), F.col("_place") % 8)) % 2 == 1
+    return (
+        facts.withColumns({"_block": block, "_place": place})
+        .join(F.broadcast(bits), "_block")
+        .filter(there)
+        .drop("_block", "_place", "_bits")
+    )
+
+
 def lookup_join(
     facts: DataFrame,
     dimension: DataFrame,
@@ -45,6 +71,7 @@ def lookup_join(
     how: str = "inner",
     max_rows: int = BROADCAST_MAX_ROWS,
     salts: int | None = None,
+    prefilter: bool = False,
 ) -> DataFrame:
     """Join facts to a dimension.
 
@@ -52,12 +79,16 @@ def lookup_join(
     joined by shuffle with every dimension row copied to ``salts`` buckets and the facts
     spread over them, which splits a key that holds a large share of all facts. The salt
     depends only on the row and its input partition, so a rerun task repeats it. That join is
-    hinted to merge: copies of a dimension that is too large must not be broadcast.
+    hinted to merge: copies of a dimension that is too large must not be broadcast. With
+    ``prefilter``, facts of an inner join that cannot match are dropped before they move, which pays
+    when many have no match.
     """
     keys = [on] if isinstance(on, str) else on
     rows, size = measure(dimension)
     if rows <= max_rows and size <= BROADCAST_MAX_BYTES:
         return facts.join(F.broadcast(dimension), keys, how)
+    if prefilter and how == "inner":
+        facts = matching_facts(facts, dimension, keys, rows)
     salts = salts or salts_for(facts.sparkSession, rows)
     spread = F.pmod(F.xxhash64(*facts.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

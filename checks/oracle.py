@@ -325,7 +325,7 @@ oracle("site_prefix", """
 oracle("region_exact", """
     SELECT event_id, user_id, start_cell, region
     FROM cdr c JOIN full_cells z ON c.start_cell = z.cell_id""")
-for _name in ("region_prefix", "region_prefix_shuffled"):
+for _name in ("region_prefix", "region_prefix_shuffled", "region_prefix_prefiltered"):
     oracle(_name, "SELECT event_id, user_id, start_cell, region FROM placed")
 
 oracle("week_calendar", """

@@ -225,6 +225,14 @@ def region_prefix_shuffled(spark, sf):
     return placed.select("event_id", "user_id", "start_cell", "region")
 
 
+@query
+def region_prefix_prefiltered(spark, sf):
+    """The same, after records that cannot have a region were dropped."""
+    placed = attach_region(S.cdr(spark, sf), S.cells(spark, sf), "prefix", max_broadcast_rows=0,
+                           prefilter=True)
+    return placed.select("event_id", "user_id", "start_cell", "region")
+
+
 # Windows ------------------------------------------------------------------------------------
 
 

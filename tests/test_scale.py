@@ -61,6 +61,19 @@ def test_left_lookup_keeps_unmatched_rows(spark):
         assert rows(got) == [("a", 1, "r"), ("b", 2, None)]
 
 
+def test_prefilter_keeps_matches_and_drops_most_others(spark):
+    facts = spark.range(40000).select(F.col("id").cast("string").alias("cell_id"), "id")
+    facts = facts.unionByName(spark.createDataFrame([(None, 1)], "cell_id string, id long"))
+    dimension = facts.filter("id % 4 = 0").select("cell_id", F.lit("r").alias("region"))
+    kept = scale.matching_facts(facts, dimension, ["cell_id"], 10000)
+    assert kept.filter("id % 4 = 0").count() == 10000
+    assert kept.filter("id % 4 != 0").count() < 30000 * 0.2
+    assert scale.matching_facts(facts, dimension.limit(0), ["cell_id"], 0).count() == 0
+    plain = scale.lookup_join(facts, dimension, "cell_id", max_rows=0)
+    fewer = scale.lookup_join(facts, dimension, "cell_id", max_rows=0, prefilter=True)
+    assert fewer.columns == plain.columns and rows(fewer) == rows(plain) and fewer.count() == 10000
+
+
 @pytest.mark.parametrize("job", ["presence", "od"])
 def test_user_with_a_third_of_all_rows_is_split(spark, job):
     """The label join splits a user who holds most of the rows left after de-duplication."""
