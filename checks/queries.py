@@ -28,7 +28,7 @@ from callscape.operators.profile import (
 from callscape.operators.spatial import attach_region, site
 from callscape.plans.peaks import detect_peaks, peak_ratios
 from callscape.plans.sociometer import run_sociometer
-from callscape.scale import cut_lineage, scratch_path
+from callscape.scale import cut_lineage, lookup_join, scratch_path
 from callscape.schema import HOURLY_SERIES, OD_SERIES, PASSING_BY, PRESENCE_SERIES
 from callscape.sinks import tables as sink
 from callscape.sinks import text as text_sink
@@ -375,16 +375,20 @@ def _squared(a, b):
 def _fitted(vectors, centroids):
     """What holds for trained centres whatever the random starts were: how many there are, that
     every profile has one, that they cost less than the single mean profile, and that the cost of
-    training is what a search over all centres finds."""
+    training is what a search over all centres finds.
+
+    Centres and mean of a window are one row, stored and then looked up, so that profiles do not move:
+    a join by window would bring all profiles of a window, each with its centres, to one task."""
     keys = ["window_year", "window_week"]
     centers = centroids.groupBy(*keys).agg(
         F.count("*").alias("n_centers"), F.collect_list("center").alias("centers"))
     values = vectors.select(*keys, F.posexplode("profile").alias("i", "v"))
     means = values.groupBy(*keys, "i").agg(F.avg("v").alias("v")).groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("mean"))
+    models = cut_lineage(means.join(centers, keys))
     near = F.array_min(F.transform("centers", lambda c: _squared(F.col("profile"), c)))
     return (
-        vectors.join(centers, keys).join(means, keys)
+        lookup_join(vectors, models, keys)
         .groupBy(*keys, "n_centers")
         .agg(F.count("*").alias("n_profiles"), F.sum(near).alias("cost"),
              F.sum(_squared(F.col("profile"), F.col("mean"))).alias("mean_cost"))

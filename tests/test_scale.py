@@ -1,4 +1,5 @@
 import contextlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,21 @@ def test_registered_shuffled_lookup_moves_the_facts(spark):
     assert "hashpartitioning" in text
 
 
+@pytest.mark.parametrize("name", ["kmeans_sampled"])
+def test_profiles_do_not_move_to_their_window(spark, name):
+    from checks.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        found = QUERIES[name](spark, sf)
+        assert "SortMergeJoin" not in plan(found)
+        by_window = r"hashpartitioning\(window_year#\d+, window_week#\d+, \d+\)"
+        assert not re.search(by_window, plan(found))
+        whole = rows(found.select("window_week", "n_profiles"))
+    expected = QUERIES["user_profile_vector"](spark, sf).groupBy("window_week").count()
+    assert whole == rows(expected)
+
+
 def test_salts_follow_the_shuffle_partitions(spark):
     assert scale.salts_for(spark, 10) == scale.JOIN_SALTS
     assert scale.salts_for(spark, 10**9) == scale.JOIN_SALTS
