@@ -143,7 +143,7 @@ def test_registered_shuffled_lookup_moves_the_facts(spark):
     assert "hashpartitioning" in text
 
 
-@pytest.mark.parametrize("name", ["kmeans_sampled"])
+@pytest.mark.parametrize("name", ["kmeans_sampled", "kmeans"])
 def test_profiles_do_not_move_to_their_window(spark, name):
     from checks.queries import QUERIES
 
